@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardlore.llm import decontaminate
+from shardlore.llm import decontaminate, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": decontaminate.query}
+    return {"op1_decontaminate": decontaminate.query, "op8_toxicity": toxicity.query}
 
 
 def oracle_sql() -> dict[str, str]:
