@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardlore.llm import decontaminate, toxicity
+from shardlore.llm import decontaminate, licenses, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": decontaminate.query, "op8_toxicity": toxicity.query}
+    return {
+        "op1_decontaminate": decontaminate.query,
+        "op2_licenses": licenses.query,
+        "op8_toxicity": toxicity.query,
+        "op9_secrets": secrets.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
