@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardlore.llm import decontaminate, licenses, secrets, toxicity
+from shardlore.llm import chat, decontaminate, licenses, mixing, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.query,
         "op2_licenses": licenses.query,
+        "op4_chat": chat.query,
+        "op7_sharding": sharding.query,
         "op8_toxicity": toxicity.query,
         "op9_secrets": secrets.query,
+        "op10_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op4_chat": chat.SQL, "op7_sharding": sharding.SQL}
