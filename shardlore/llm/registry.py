@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardlore.llm import chat, decontaminate, licenses, mixing, secrets, sharding, toxicity
+from shardlore.llm import chat, decontaminate, licenses, mixing, neardup, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontaminate": decontaminate.query,
         "op2_licenses": licenses.query,
         "op4_chat": chat.query,
+        "op5_near_duplicates": neardup.query,
         "op7_sharding": sharding.query,
         "op8_toxicity": toxicity.query,
         "op9_secrets": secrets.query,
