@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardlore.llm import chat, decontaminate, licenses, mixing, neardup, secrets, sharding, toxicity
+from shardlore.llm import chat, decontaminate, embeddings, licenses, mixing, neardup, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.query,
         "op2_licenses": licenses.query,
+        "op3_embeddings": embeddings.query,
         "op4_chat": chat.query,
         "op5_near_duplicates": neardup.query,
         "op7_sharding": sharding.query,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.SQL, "op4_chat": chat.SQL, "op7_sharding": sharding.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op3_embeddings": embeddings.SQL, "op4_chat": chat.SQL, "op7_sharding": sharding.SQL}
