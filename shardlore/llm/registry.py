@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shardlore.llm import chat, decontaminate, embeddings, licenses, mixing, neardup, secrets, sharding, toxicity
+from shardlore.llm import chat, decontaminate, embeddings, licenses, mixing, neardup, repeats, secrets, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_embeddings": embeddings.query,
         "op4_chat": chat.query,
         "op5_near_duplicates": neardup.query,
+        "op6_repeats": repeats.query,
         "op7_sharding": sharding.query,
         "op8_toxicity": toxicity.query,
         "op9_secrets": secrets.query,

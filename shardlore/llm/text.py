@@ -39,7 +39,7 @@ _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-class _Powers:
+class Powers:
     """Powers of the hash's base and of its inverse modulo 2^64, grown on demand."""
 
     up = np.ones(1, np.uint64)
@@ -111,7 +111,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     """A 64-bit hash of each byte range, A-Z folded."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _Powers.to(len(data))
+    up, down = Powers.to(len(data))
     with np.errstate(over="ignore"):
         total = np.empty(len(data) + 1, np.uint64)
         total[0] = 0
