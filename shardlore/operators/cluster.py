@@ -1,23 +1,66 @@
-"""Cluster statistics: which node holds how much."""
+"""Cluster operators: who holds what, listings, pages and counters."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shardlore.functions import scoring
 
-def network_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards and bytes per node; nodes that hold nothing are listed with zeros."""
-    nodes = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("uid"))
-    shards = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("uid"), "l_quantity")
-    held = shards.groupBy("uid").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("b"))
-    return nodes.join(held, "uid", "left").select(
-        "uid", F.coalesce("n", F.lit(0)).cast("bigint").alias("shard_count"), F.coalesce("b", F.lit(0)).cast("bigint").alias("stored_bytes")
+
+def totals_by_holder(shards: DataFrame) -> DataFrame:
+    """shard_count and stored_bytes of each holder."""
+    return shards.groupBy("uid").agg(F.count("*").alias("shard_count"), F.sum("bytes").alias("stored_bytes"))
+
+
+def node_totals(nodes: DataFrame, shards: DataFrame) -> DataFrame:
+    """Shards and bytes per node; nodes that hold nothing are listed with zeros. Shards are summed before the join."""
+    return nodes.select("uid").join(totals_by_holder(shards), "uid", "left").select(
+        "uid", F.coalesce("shard_count", F.lit(0)).alias("shard_count"), F.coalesce("stored_bytes", F.lit(0)).alias("stored_bytes")
+    )
+
+
+def shard_detail(shards: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """Each shard with its holder's family, DATA or PARITY, and its file's numbers of holders and families."""
+    held = shards.join(nodes.select("uid", "family"), "uid")
+    spread = held.groupBy("file_id").agg(F.count_distinct("uid").alias("holders"), F.count_distinct("family").alias("families"))
+    kind = F.when(F.col("idx") <= k, "DATA").otherwise("PARITY")
+    return held.join(spread, "file_id").select("file_id", "idx", "uid", "family", kind.alias("kind"), "holders", "families")
+
+
+def lists_by_holder(shards: DataFrame) -> DataFrame:
+    """The ordered shards of each holder."""
+    return shards.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("file_id", "idx", "part"))).alias("held"))
+
+
+def group_index(files: DataFrame, groups: int) -> DataFrame:
+    """The distinct file hashes of each placement group, in order."""
+    return files.groupBy(scoring.placement_group(F.col("file_hash"), groups).alias("pg")).agg(
+        F.sort_array(F.collect_set("file_hash")).alias("files"), F.min("file_id").alias("first_file")
     )
 
 
-NETWORK_STATS_SQL = """
-SELECT s_suppkey AS uid, CAST(count(l_suppkey) AS BIGINT) AS shard_count,
-  CAST(coalesce(sum(CAST(trunc(l_quantity) AS BIGINT)), 0) AS BIGINT) AS stored_bytes
-FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey
-"""
+def group_pages(files: DataFrame, groups: int, group: int, page_size: int, pages: int) -> DataFrame:
+    """The first pages of one group's ordered files; only that group is sorted, and only as far as needed."""
+    mine = files.filter(scoring.placement_group(F.col("file_hash"), groups) == group).select("file_hash")
+    first = mine.orderBy("file_hash").limit(page_size * pages)
+    return first.select("file_hash", F.floor((F.row_number().over(Window.orderBy("file_hash")) - 1) / page_size).alias("page"))
+
+
+def keyset_page(rows: DataFrame, key: str, after, size: int, most: int = 200_000) -> DataFrame:
+    """The next rows after a key."""
+    return rows.filter(F.col(key) > after).orderBy(key).limit(min(max(size, 1), most))
+
+
+def prefixed_counters(pairs: DataFrame, prefix: str) -> DataFrame:
+    """Sum of the counters under a key prefix, by the rest of the key; rests that are no number are left out."""
+    mine = pairs.filter(F.col("key").startswith(prefix))
+    uid = F.substr("key", F.lit(len(prefix) + 1)).try_cast("bigint")
+    value = F.from_json("value", "v bigint")["v"]
+    return mine.select(uid.alias("uid"), value.alias("v")).filter("uid is not null and v is not null").groupBy("uid").agg(F.sum("v").alias("total"), F.count("*").alias("n"))
+
+
+def failures(reports: DataFrame, integrity: str) -> DataFrame:
+    """Failures of each node, and how many of them were of integrity and so raise a strike."""
+    bad = F.count_if(F.col("kind") == integrity)
+    return reports.groupBy("uid").agg(F.count("*").alias("failures"), bad.alias("integrity"), bad.alias("strikes"))

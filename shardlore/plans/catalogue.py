@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from shardlore.plans import registry, statistics  # noqa: F401  importing registers
 
-from pyspark.sql import DataFrame, SparkSession
 
-from shardlore.operators import cluster
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"network_stats": cluster.network_stats}
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"network_stats": cluster.NETWORK_STATS_SQL}
+    return dict(registry.SQL)
