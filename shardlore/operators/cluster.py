@@ -64,3 +64,9 @@ def failures(reports: DataFrame, integrity: str) -> DataFrame:
     """Failures of each node, and how many of them were of integrity and so raise a strike."""
     bad = F.count_if(F.col("kind") == integrity)
     return reports.groupBy("uid").agg(F.count("*").alias("failures"), bad.alias("integrity"), bad.alias("strikes"))
+
+
+def from_cursor(rows: DataFrame, order: list[str], cursor: int, size: int) -> DataFrame:
+    """`size` rows from a cursor in the ordered list, around its end. One audited list is small; it is numbered as a whole."""
+    numbered = rows.withColumns({"rn": F.row_number().over(Window.orderBy(*order)) - 1, "n": F.count("*").over(Window.partitionBy())})
+    return numbered.filter(F.pmod(F.col("rn") - cursor, F.col("n")) < size).drop("rn", "n")

@@ -21,7 +21,7 @@ def query(sql: str | None = None, views: bool = True) -> Callable[[Query], Query
         if sql:
             text = sql.strip()
             if views:
-                text = domain.SQL.strip() + (", " + text[5:] if text.upper().startswith("WITH ") else " " + text)
+                text = domain.SQL.strip().replace("WITH", "WITH RECURSIVE", 1) + (", " + text[5:] if text.upper().startswith("WITH ") else " " + text)
             SQL[function.__name__] = text
         return function
 
