@@ -78,6 +78,8 @@ def _shard_of(marks: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(shard):
+        return
     order = np.argsort(shard, kind="stable")
     numbers, first = np.unique(shard[order], return_index=True)
     yield from zip(numbers.tolist(), np.split(order, first[1:]), strict=True)
