@@ -143,12 +143,12 @@ def offline_nodes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""SELECT file_id, epoch, epoch > 24300 AS late FROM (SELECT file_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY file_id) AS k FROM files) WHERE k <= 10""")
+@query("""SELECT file_id, epoch, epoch > 23970 AS late FROM (SELECT file_id, epoch, row_number() OVER (PARTITION BY epoch ORDER BY file_id) AS k FROM files) WHERE k <= 10""")
 def map_history(spark: SparkSession, d: str) -> DataFrame:
     """The first ten entries of each epoch, and whether the epoch is newer than the last one seen."""
     w = Window.partitionBy("epoch").orderBy("file_id")
     f = files(spark, d).withColumn("k", F.row_number().over(w)).filter("k <= 10")
-    return f.select("file_id", "epoch", (F.col("epoch") > 24300).alias("late"))
+    return f.select("file_id", "epoch", (F.col("epoch") > 23970).alias("late"))
 
 
 @query("""
@@ -169,11 +169,11 @@ def storage_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT CAST(count(*) FILTER (status = 'O') AS BIGINT) AS active, CAST(count(*) AS BIGINT) AS total,
-  CAST(count(*) FILTER (status = 'O' AND epoch < 24300) AS BIGINT) AS stale FROM files""")
+  CAST(count(*) FILTER (status = 'O' AND epoch < 23970) AS BIGINT) AS stale FROM files""")
 def upload_progress(spark: SparkSession, d: str) -> DataFrame:
     """Uploads in progress, and those that an interrupted run would mark failed."""
     return files(spark, d).agg(
-        F.count_if(F.col("status") == "O").alias("active"), F.count("*").alias("total"), F.count_if((F.col("status") == "O") & (F.col("epoch") < 24300)).alias("stale")
+        F.count_if(F.col("status") == "O").alias("active"), F.count("*").alias("total"), F.count_if((F.col("status") == "O") & (F.col("epoch") < 23970)).alias("stale")
     )
 
 
