@@ -23,7 +23,7 @@ def epoch_chain(spark: SparkSession, d: str) -> DataFrame:
     return history.chained(e.withColumns({"hash": F.sha2(F.col("epoch").cast("string"), 256), "previous": F.sha2(before.cast("string"), 256)}))
 
 
-@query("SELECT DISTINCT epoch FROM files WHERE epoch > 23920 AND epoch <= 23970 + 20")
+@query("SELECT DISTINCT epoch FROM files WHERE epoch > 23970 AND epoch <= 23970 + 20")
 def epochs_accepted(spark: SparkSession, d: str) -> DataFrame:
     return history.acceptable(files(spark, d).select("epoch").distinct(), F.lit(23970), 20)
 
