@@ -113,3 +113,35 @@ def routable(o: Column) -> Column:
 
 def dedup_key(shard: Column, miner: Column, seed_hex: Column) -> Column:
     return F.concat_ws(":", shard, miner.cast("string"), seed_hex)
+
+
+def truncated(value: Column, most: int) -> Column:
+    """The first characters of a string, or bytes of a binary."""
+    return F.substring(value, 1, most)
+
+
+def bytes32(value: Column) -> Column:
+    """32 bytes out of 64 hex digits, with or without 0x; null otherwise."""
+    bare = F.regexp_replace(value, "^0x", "")
+    return F.when(bare.rlike("^[0-9a-fA-F]{64}$"), F.unhex(bare))
+
+
+def account_bytes(value: Column) -> Column:
+    """32 bytes of an account: hex as it is, anything else by its hash."""
+    return F.coalesce(bytes32(value), F.unhex(F.sha2(value, 256)))
+
+
+def signed_tuple(tag: str, *parts: Column) -> Column:
+    """The bytes that a signature covers: a domain tag and the parts, each preceded by its length."""
+    cells = [F.concat(F.lpad(F.octet_length(p.cast("string")).cast("string"), 8, "0"), p.cast("string")) for p in parts]
+    return F.concat(F.lit(tag), *cells).cast("binary")
+
+
+def seed(tag: str, *parts: Column) -> Column:
+    """A digest (hex) that seeds a deterministic choice."""
+    return F.sha2(F.concat_ws("|", F.lit(tag), *(p.cast("string") for p in parts)), 256)
+
+
+def content_hash(row: Column) -> Column:
+    """The digest of a struct's JSON."""
+    return F.sha2(F.to_json(row), 256)

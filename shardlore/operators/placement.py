@@ -70,3 +70,34 @@ def lookback(pieces: DataFrame, epochs: DataFrame, back: int) -> DataFrame:
     met = pieces.join(epochs, (epochs.pg == pieces.pg) & epochs.seen.between(pieces.epoch - back, pieces.epoch)).drop(epochs.pg)
     first = met.groupBy("file_id", "uid").agg(F.max("seen").alias("seen"))
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("seen"), "uid")).cast("bigint"))
+
+
+def with_overrides(placement: DataFrame, overrides: DataFrame, live: DataFrame, slots: int) -> DataFrame:
+    """placement with a group's override in its place, if enough of the override's nodes are live. overrides: pg, uids."""
+    listed = overrides.select("pg", F.posexplode("uids").alias("at", "uid")).join(live.select("uid"), "uid", "left_semi")
+    slot = F.row_number().over(Window.partitionBy("pg").orderBy("at")) - 1
+    good = listed.withColumn("slot", slot.cast("bigint")).withColumn("n", F.count("*").over(Window.partitionBy("pg"))).filter(F.col("n") >= slots).filter(F.col("slot") < slots)
+    return placement.join(good.select("pg").distinct(), "pg", "left_anti").unionByName(good.select("pg", "slot", "uid"))
+
+
+def repair_plan(pieces: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """For each stripe the first k shards by index, each from its newest holder; stripes with fewer have what there is.
+
+    pieces: file_id, stripe; found: file_id, stripe, idx, uid, epoch.
+    """
+    best = found.join(pieces, ["file_id", "stripe"], "left_semi").groupBy("file_id", "stripe", "idx").agg(F.max_by("uid", F.struct("epoch", -F.col("uid"))).alias("uid"))
+    w = Window.partitionBy("file_id", "stripe")
+    ranked = best.withColumns({"turn": F.row_number().over(w.orderBy("idx")), "n": F.count("*").over(w)})
+    return ranked.filter(F.col("turn") <= k).select("file_id", "stripe", "idx", "uid", (F.col("n") >= k).alias("repairable"))
+
+
+def download_plan(requests: DataFrame, owners: DataFrame, latency: DataFrame, blocked: DataFrame, k: int, stripe_size: int) -> DataFrame:
+    """The k fastest shards that aren't blocked of each stripe that a byte range touches.
+
+    requests: file_id, start, stop; owners: file_id, stripe, idx, uid; latency: uid, ms (unknown ones come last); blocked: uid.
+    """
+    stripes = requests.select("file_id", F.explode(F.sequence(F.floor(F.col("start") / stripe_size), F.floor(F.col("stop") / stripe_size))).alias("stripe"))
+    open_owners = owners.join(blocked.select("uid"), "uid", "left_anti").join(latency, "uid", "left")
+    met = stripes.join(open_owners, ["file_id", "stripe"])
+    turn = F.row_number().over(Window.partitionBy("file_id", "stripe").orderBy(F.col("ms").asc_nulls_last(), "idx", "uid"))
+    return met.withColumn("turn", turn).filter(F.col("turn") <= k).select("file_id", "stripe", "idx", "uid")

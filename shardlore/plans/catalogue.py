@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shardlore.plans import changes, checks, custom, registry, scores, statistics  # noqa: F401  importing registers
+from shardlore.plans import changes, checks, custom, registry, scores, statistics, transfers  # noqa: F401  importing registers
 
 
 def queries() -> dict[str, registry.Query]:
