@@ -2,12 +2,12 @@
 
 A byte goes if a string of LENGTH bytes that covers it also starts earlier: in a smaller doc_id, or earlier in the same
 document. The corpus is cut as for a prefix-free parse: each window of LENGTH bytes has one anchor, the smallest
-hash among its GRAM-byte substrings (the leftmost on ties), which depends on the window's bytes alone. Equal windows so have
+hash among its GRAM-byte substrings, which depends on the window's bytes alone. Equal windows so have
 equal anchors, and indexes of different anchors never need each other.
 
 1. The anchors' hashes are counted by shard; only runs of windows whose anchor hash occurs twice or more go on.
 2. The bytes under those runs (segments) are brought to their anchor's shard; equal segments of one task's documents travel once.
-3. A shard builds, for a bounded number of distinct segments at a time, their suffix order by prefix doubling, the
+3. A shard builds, for a bounded number of distinct segments at a time, their suffix order by prefix tripling, the
    run-length Burrows-Wheeler transform (run heads, run symbols, the LF-mapping of each run's head) and, at run ends, suffix
    samples. Every segment is streamed backwards through the runs by LF-mapping; the row it is in gives its matching
    statistic: whether the suffix shares LENGTH bytes with a neighbouring row, and the earliest place in the corpus of
@@ -37,17 +37,22 @@ LENGTH = 100
 GRAM = 20
 #: Bytes of text for each shard of anchors.
 SHARD = 16 << 20
+#: Windows of one segment at most.
+WINDOWS = 77
 #: Symbols of one index.
-BATCH = 2 << 20
+BATCH = 3 << 19
+#: Symbols that the first sort compares, and the depth, reached by tripling, from which LENGTH is put together.
+DEPTH, SHARED = 7, 63
 _RAW = text.stream(41, 256)
 
 
-def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that share an anchor: row, first window's start in the data, number of windows, anchor hash."""
+def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows whose anchors' hashes are equal: row, first window's start in the data, number of windows, anchor hash, and whether
+    the anchor stands more than once under the run, so that windows of the run itself may be equal."""
     n = len(data) - LENGTH + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(bool)
     # Window starts that stay inside a row.
     inside = np.zeros(n + 1, np.int8)
     long = np.flatnonzero(np.diff(at) >= LENGTH)
@@ -55,22 +60,33 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     np.add.at(inside, at[long + 1] - LENGTH + 1, -1)
     starts = np.flatnonzero(np.cumsum(inside[:n]))
     if not len(starts):
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(bool)
     total, down = _totals(data)
     with np.errstate(over="ignore"):
-        best = text.mix((total[GRAM:] - total[:-GRAM]) * down[: len(data) - GRAM + 1])
-    place = np.arange(len(best), dtype=np.int32)
+        grams = best = text.mix((total[GRAM:] - total[:-GRAM]) * down[: len(data) - GRAM + 1])
     width, span = LENGTH - GRAM + 1, 1
     while span < width:
         step = min(span, width - span)
-        take = best[step:] < best[:-step]
-        best = np.where(take, best[step:], best[:-step])
-        place = np.where(take, place[step:], place[:-step])
+        best = np.minimum(best[step:], best[:-step])
         span += step
-    anchor = place[starts]
+    mark = best[starts]
     row = np.searchsorted(at, starts, "right") - 1
-    first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])))
-    return row[first], starts[first], np.diff(np.append(first, len(starts))), best[starts[first]]
+    first = np.flatnonzero(np.append(True, (mark[1:] != mark[:-1]) | (row[1:] != row[:-1])))
+    count = np.diff(np.append(first, len(starts)))
+    # Runs are cut to at most WINDOWS windows, which bounds the segments; where a run is cut doesn't matter.
+    parts = -(-count // WINDOWS)
+    turn = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = np.repeat(first, parts) + turn * WINDOWS
+    count = np.minimum(np.repeat(count, parts) - turn * WINDOWS, WINDOWS)
+    begin, again = starts[first], np.zeros(len(first), bool)
+    for low in range(0, len(begin), 1 << 12):
+        part = slice(low, low + (1 << 12))
+        place = np.arange(width)
+        # The anchor's first place under the run's first window and its last place under the run's last window.
+        head = begin[part] + grams[begin[part, None] + place].argmin(axis=1)
+        end = begin[part] + count[part] - 1
+        again[part] = head != end + width - 1 - grams[end[:, None] + place[::-1]].argmin(axis=1)
+    return row[first], begin, count, mark[first], again
 
 
 def _shard_of(marks: np.ndarray, shards: int) -> np.ndarray:
@@ -100,7 +116,9 @@ def runs(docs: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             for part in text.chunks(batch, "text"):
                 data, at = text.flat(part.column("text"))
-                row, start, count, mark = anchors(data, at)
+                row, start, count, mark, again = anchors(data, at)
+                # A run with equal windows of its own is sent twice, as its hash occurs twice.
+                row, start, count, mark = (np.concatenate([x, x[again]]) for x in (row, start, count, mark))
                 key = part.column("key").to_numpy()[row]
                 start = (start - at[row]).astype(np.int32)
                 for number, pick in _by_shard(_shard_of(mark, shards)):
@@ -122,7 +140,8 @@ def repeated(packed: DataFrame, shards: int) -> DataFrame:
         order = np.argsort(mark)
         same = mark[order][1:] == mark[order][:-1]
         twice = order[np.append(same, False) | np.append(False, same)]
-        twice = twice[np.argsort(key[twice], kind="stable")]
+        twice = twice[np.lexsort((start[twice], key[twice]))]
+        twice = twice[np.append(True, (key[twice][1:] != key[twice][:-1]) | (start[twice][1:] != start[twice][:-1]))[: len(twice)]]
         yield from _per_key(key[twice], start[twice], count[twice])
 
     return packed.repartition(shards, "shard").mapInArrow(run, "key bigint, starts binary, counts binary")
@@ -224,32 +243,51 @@ class RunIndex:
         self.samples = self.order[np.append(self.heads[1:], n) - 1]
 
     def _sort(self, symbol: np.ndarray, owner: np.ndarray, n: int) -> None:
-        """Suffix order by prefix doubling. A separator is smaller than any byte; separators are told apart by their segment."""
-        key = np.zeros(n, np.int64)
+        """Suffix order by prefix tripling. A separator is smaller than any byte; separators are told apart by their segment."""
+        used = np.bincount(symbol, minlength=258) > 0
+        code = np.cumsum(used)[symbol] - 1
+        bits, owners = int(used.sum()).bit_length(), len(self.size).bit_length()
+        key = np.zeros(n, np.uint64)
         ended = np.zeros(n, bool)
-        for k in range(7):
-            shifted = np.zeros(n, np.int64)
-            shifted[: n - k] = symbol[k:] if k else symbol
+        for k in range(DEPTH):
+            shifted = np.zeros(n, np.uint64)
+            shifted[: n - k] = code[k:] if k else code
             ended |= shifted == 0
-            key = key * 257 + np.where(ended, 0, shifted)
-        order = np.lexsort((np.where(ended, owner, -1), key))
-        tie = np.where(ended, owner, -1)[order]
-        rank = self._ranks(order, (key[order][1:] != key[order][:-1]) | (tie[1:] != tie[:-1]))
-        depth, self.half = 7, None
+            shifted[ended] = 0
+            key = (key << np.uint64(bits)) | shifted
+        tie = np.where(ended, owner + 1, 0).astype(np.uint64)
+        if bits * DEPTH + owners <= 64:
+            key = (key << np.uint64(owners)) | tie
+            order = np.argsort(key)
+            rank = self._ranks(order, key[order][1:] != key[order][:-1])
+        else:
+            order = np.lexsort((tie, key))
+            rank = self._ranks(order, (key[order][1:] != key[order][:-1]) | (tie[order][1:] != tie[order][:-1]))
+        depth = DEPTH
         longest = int(self.size.max()) + 1
         while depth < longest:
-            if depth == 56:
-                self.half = rank
-            following = np.zeros(n, np.int64)
-            following[: n - depth] = rank[depth:]
-            pair = rank * (n + 1) + following
-            order = np.argsort(pair, kind="stable")
-            rank = self._ranks(order, pair[order][1:] != pair[order][:-1])
-            depth *= 2
-        self.order, self.rank = order, rank
-        # Neighbouring rows share LENGTH bytes if they share 56 from their start and 56 up to the LENGTH-th.
-        other = np.minimum(order + LENGTH - 56, n - 1)
-        a, b = self.half[order], self.half[other]
+            if depth == SHARED:
+                shared = rank
+            if n < 1 << 21:
+                key = rank << 21
+                key[: n - depth] |= rank[depth:]
+                key <<= 21
+                key[: max(n - 2 * depth, 0)] |= rank[2 * depth :]
+                order = np.argsort(key)
+                rank = self._ranks(order, key[order][1:] != key[order][:-1])
+            else:
+                one, two = np.zeros(n, np.int64), np.zeros(n, np.int64)
+                one[: n - depth], two[: max(n - 2 * depth, 0)] = rank[depth:], rank[2 * depth :]
+                order = np.lexsort((two, one, rank))
+                new = np.zeros(n - 1, bool)
+                for part in (rank, one, two):
+                    new |= part[order][1:] != part[order][:-1]
+                rank = self._ranks(order, new)
+            depth *= 3
+        self.order = order
+        # Neighbouring rows share LENGTH bytes if they share SHARED from their start and SHARED up to the LENGTH-th.
+        other = np.minimum(order + LENGTH - SHARED, n - 1)
+        a, b = shared[order], shared[other]
         self.group = np.cumsum(np.append(False, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
 
     @staticmethod
