@@ -122,17 +122,20 @@ def runs(docs: DataFrame, shards: int) -> DataFrame:
                 key = part.column("key").to_numpy()[row]
                 start = (start - at[row]).astype(np.int32)
                 for number, pick in _by_shard(_shard_of(mark, shards)):
-                    packed = _binary(key[pick], mark[pick], start[pick], count[pick].astype(np.uint8))
+                    packed = _binary(key[pick], mark[pick].astype(np.uint32), start[pick], count[pick].astype(np.uint8))
                     yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *packed], ["shard", "keys", "marks", "starts", "counts"])
 
     return docs.select("key", "text").mapInArrow(run, "shard int, keys binary, marks binary, starts binary, counts binary")
 
 
 def repeated(packed: DataFrame, shards: int) -> DataFrame:
-    """key, starts and counts of the runs whose anchor hash occurs more than once."""
+    """key, starts and counts of the runs whose anchor hash occurs more than once in its shard.
+
+    Shards are told by the hash's upper half and compare its lower one: a chance match costs a look, not a wrong result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[_joined(b, c, k) for c, k in (("keys", np.int64), ("marks", np.uint64), ("starts", np.int32), ("counts", np.uint8))] for b in batches]
+        parts = [[_joined(b, c, k) for c, k in (("keys", np.int64), ("marks", np.uint32), ("starts", np.int32), ("counts", np.uint8))] for b in batches]
         if not parts:
             return
         key, mark, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
