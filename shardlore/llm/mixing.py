@@ -43,7 +43,7 @@ AVERAGE, BOUND = 20.0, 30.0
 #: A bucket is evidence if so many training documents have it.
 SEEN = 20
 #: Characters that prose has few of.
-SYMBOLS = "!#$%&*+/<=>@[]^_{|}~" + "\\"
+SYMBOLS = r"[!#$%&*+/<=>@\[\]^_{|}~\\]"
 #: Buckets of words, and ten for each measure of a text's shape.
 ALL_BUCKETS = BUCKETS + 30
 #: Posteriors are rounded to multiples of 1/GRID, which bounds the number of distinct ones.
@@ -56,9 +56,8 @@ CLOSE = 3e-3
 
 
 def words(column: str = "text") -> Column:
-    """Folded words: runs of letters, digits and characters above 0x7F."""
-    folded = F.translate(F.coalesce(column, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(folded, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    """Lower-case words: runs of letters, digits and characters above 0x7F."""
+    return F.array_remove(F.split(F.lower(F.coalesce(column, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
 def bucket(word: Column) -> Column:
@@ -73,17 +72,17 @@ def shape(column: str = "text") -> Column:
     def tenth(share: Column) -> Column:
         return F.least(F.floor(share * 10), F.lit(9)).cast("int")
 
-    capitals = tenth((F.length(value) - F.length(F.translate(value, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))) / size)
-    symbols = tenth(F.least(F.lit(1.0), 3 * (F.length(value) - F.length(F.translate(value, SYMBOLS, ""))) / size))
+    capitals = tenth(F.regexp_count(value, F.lit("[A-Z]")) / size)
+    symbols = tenth(F.least(F.lit(1.0), 3 * F.regexp_count(value, F.lit(SYMBOLS)) / size))
     distinct = tenth(F.size("__buckets") / F.greatest(F.size("__words"), F.lit(1)))
     return F.array(*(F.lit(BUCKETS + 10 * k) + x for k, x in enumerate((capitals, symbols, distinct))))
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """docs with n_tokens and the distinct buckets of words and shape, as __buckets."""
+    """docs with n_tokens, the distinct buckets of words as __buckets and those of shape as __shape."""
     out = docs.withColumn("__words", words()).withColumn("n_tokens", F.size("__words").cast("bigint"))
     out = out.withColumn("__buckets", F.array_distinct(F.transform("__words", bucket)))
-    return out.withColumn("__buckets", F.concat("__buckets", shape())).drop("__words")
+    return out.withColumn("__shape", shape()).drop("__words")
 
 
 def domain(labels: DataFrame) -> DataFrame:
@@ -109,7 +108,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
     n = [seen.get(k, 0) for k in range(len(DOMAINS))]
     counts = [[0] * ALL_BUCKETS for _ in DOMAINS]
     # A word counts once in a document. At most ALL_BUCKETS rows for each domain come back.
-    terms = features(first).select("domain", F.explode("__buckets").alias("bucket"))
+    # (explode() would have the buckets of all documents computed before the join, to filter out empty arrays.)
+    terms = features(first).select("domain", F.explode_outer(F.concat("__buckets", "__shape")).alias("bucket"))
     for r in terms.groupBy("domain", "bucket").agg(F.count("*").alias("n")).collect():
         counts[r["domain"]][r["bucket"]] += r["n"]
     total = sum(n)
@@ -142,10 +142,8 @@ def _calibrate(domains: list[int], inputs: list[list[float]]) -> list[list[float
 
 def _sums(ratios: list[list[float]]) -> list[Column]:
     """The evidence of a row's buckets for each domain but the first: over words, then over shape."""
-    word_buckets = F.filter("__buckets", lambda b: b < BUCKETS)
-    shape_buckets = F.filter("__buckets", lambda b: b >= BUCKETS)
     out = []
-    for buckets in (word_buckets, shape_buckets):
+    for buckets in ("__buckets", "__shape"):
         for ratio in ratios:
             known = F.split(F.lit(",".join(f"{r:.4g}" for r in ratio)), ",").cast("array<double>")
             out.append(F.least(F.greatest(_evidence(buckets, known), F.lit(-BOUND)), F.lit(BOUND)))
@@ -171,7 +169,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None =
     out = out.withColumn("__steps", F.array(F.greatest(F.lit(0), F.lit(GRID) - _plus(steps)), *steps))
     whole = _plus([F.col("__steps")[k] for k in range(len(DOMAINS))])
     out = out.withColumn("posterior", F.transform("__steps", lambda x: x / whole))
-    return out.drop("__buckets", "__sums", "__logits", "__top", "__odds", "__steps")
+    return out.drop("__buckets", "__shape", "__sums", "__logits", "__top", "__odds", "__steps")
 
 
 def _plus(columns: list[Column]) -> Column:
@@ -181,7 +179,7 @@ def _plus(columns: list[Column]) -> Column:
     return out
 
 
-def _evidence(buckets: Column, ratio: Column) -> Column:
+def _evidence(buckets: str, ratio: Column) -> Column:
     return F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.get(ratio, b))
 
 
@@ -232,21 +230,21 @@ def rates(known: DataFrame, targets: dict[str, float] | None = None, budget: flo
     return common.stage(state.drop("ahead"), "rates")
 
 
-def mix(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None, **options) -> DataFrame:
-    """docs with n_tokens, posterior, rate and copies; options as for `rates`."""
+def mix(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None, drop: tuple[str, ...] = (), **options) -> DataFrame:
+    """docs with n_tokens, posterior, rate and copies, without the columns in drop; options as for `rates`."""
+    chance = F.pmod(F.xxhash64(F.lit(10), "doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     kept = [c for c in docs.columns if c not in ("n_tokens", "posterior", "rate", "copies")]
-    known = posteriors(docs.select(*kept), labels, labelled)
-    numbers = common.stage(known.select("posterior", "n_tokens"), "posteriors")
-    found = rates(numbers, **options).select(F.col("posterior").alias("__cell"), F.col("rate").alias("__rate"))
+    # Written once, so that the texts are split once.
+    known = common.stage(posteriors(docs.select(*kept).withColumn("__chance", chance), labels, labelled).drop(*drop), "posteriors")
+    found = rates(known, **options).select(F.col("posterior").alias("__cell"), F.col("rate").alias("__rate"))
     out = known.join(found, F.col("posterior") == F.col("__cell"), "left")
     out = out.withColumn("rate", F.when(F.col("n_tokens") > 0, F.col("__rate")).otherwise(1.0)).drop("__cell", "__rate")
-    chance = F.pmod(F.xxhash64(F.lit(10), "doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return out.withColumn("copies", F.floor(F.col("rate") + chance).cast("int"))
+    return out.withColumn("copies", F.floor(F.col("rate") + F.col("__chance")).cast("int")).drop("__chance")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Each document's tokens, domain posteriors, rate and copies."""
-    done = mix(docs.select("doc_id", "text"), labels)
+    done = mix(docs.select("doc_id", "text"), labels, drop=("text",))
     shares = [F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
     return done.select("doc_id", "n_tokens", *shares, "rate", "copies")
 
