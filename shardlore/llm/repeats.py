@@ -7,7 +7,7 @@ equal anchors, and indexes of different anchors never need each other.
 
 1. The anchors' hashes are counted by shard; only runs of windows whose anchor hash occurs twice or more go on.
 2. The bytes under those runs (segments) are brought to their anchor's shard; equal segments of one task's documents travel once.
-3. A shard builds, for a bounded number of distinct segments at a time, their suffix order by prefix tripling, the
+3. A shard builds, for a bounded number of distinct segments at a time, their suffix order by prefix doubling, the
    run-length Burrows-Wheeler transform (run heads, run symbols, the LF-mapping of each run's head) and, at run ends, suffix
    samples. Every segment is streamed backwards through the runs by LF-mapping; the row it is in gives its matching
    statistic: whether the suffix shares LENGTH bytes with a neighbouring row, and the earliest place in the corpus of
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from shardlore.llm import common, text
 
 LENGTH = 100
-GRAM = 20
+#: Long enough that prose rarely repeats it by chance.
+GRAM = 36
 #: Bytes of text for each shard of anchors.
 SHARD = 16 << 20
 #: Windows of one segment at most.
@@ -42,7 +43,7 @@ WINDOWS = 77
 #: Symbols of one index.
 BATCH = 3 << 19
 #: Symbols that the first sort compares, and the depth, reached by tripling, from which LENGTH is put together.
-DEPTH, SHARED = 7, 63
+DEPTH, SHARED = 3, 96
 _RAW = text.stream(41, 256)
 
 
@@ -246,47 +247,26 @@ class RunIndex:
         self.samples = self.order[np.append(self.heads[1:], n) - 1]
 
     def _sort(self, symbol: np.ndarray, owner: np.ndarray, n: int) -> None:
-        """Suffix order by prefix tripling. A separator is smaller than any byte; separators are told apart by their segment."""
-        used = np.bincount(symbol, minlength=258) > 0
-        code = np.cumsum(used)[symbol] - 1
-        bits, owners = int(used.sum()).bit_length(), len(self.size).bit_length()
-        key = np.zeros(n, np.uint64)
+        """Suffix order by prefix doubling. A separator is smaller than any byte; separators are told apart by their segment.
+
+        Keys and positions are packed into one 64-bit number where they fit, since sorting numbers is much faster than sorting positions by them.
+        """
         ended = np.zeros(n, bool)
+        key = np.zeros(n, np.int64)
         for k in range(DEPTH):
-            shifted = np.zeros(n, np.uint64)
-            shifted[: n - k] = code[k:] if k else code
+            shifted = np.zeros(n, np.int64)
+            shifted[: n - k] = symbol[k:]
             ended |= shifted == 0
-            shifted[ended] = 0
-            key = (key << np.uint64(bits)) | shifted
-        tie = np.where(ended, owner + 1, 0).astype(np.uint64)
-        if bits * DEPTH + owners <= 64:
-            key = (key << np.uint64(owners)) | tie
-            order = np.argsort(key)
-            rank = self._ranks(order, key[order][1:] != key[order][:-1])
-        else:
-            order = np.lexsort((tie, key))
-            rank = self._ranks(order, (key[order][1:] != key[order][:-1]) | (tie[order][1:] != tie[order][:-1]))
-        depth = DEPTH
-        longest = int(self.size.max()) + 1
+            key = key << 9 | np.where(ended, 0, shifted)
+        order, rank = self._order(key, np.where(ended, owner + 1, 0))
+        depth, longest = DEPTH, int(self.size.max()) + 1
         while depth < longest:
             if depth == SHARED:
                 shared = rank
-            if n < 1 << 21:
-                key = rank << 21
-                key[: n - depth] |= rank[depth:]
-                key <<= 21
-                key[: max(n - 2 * depth, 0)] |= rank[2 * depth :]
-                order = np.argsort(key)
-                rank = self._ranks(order, key[order][1:] != key[order][:-1])
-            else:
-                one, two = np.zeros(n, np.int64), np.zeros(n, np.int64)
-                one[: n - depth], two[: max(n - 2 * depth, 0)] = rank[depth:], rank[2 * depth :]
-                order = np.lexsort((two, one, rank))
-                new = np.zeros(n - 1, bool)
-                for part in (rank, one, two):
-                    new |= part[order][1:] != part[order][:-1]
-                rank = self._ranks(order, new)
-            depth *= 3
+            following = np.zeros(n, np.int64)
+            following[: n - depth] = rank[depth:]
+            order, rank = self._order(rank, following)
+            depth *= 2
         self.order = order
         # Neighbouring rows share LENGTH bytes if they share SHARED from their start and SHARED up to the LENGTH-th.
         other = np.minimum(order + LENGTH - SHARED, n - 1)
@@ -294,10 +274,23 @@ class RunIndex:
         self.group = np.cumsum(np.append(False, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
 
     @staticmethod
-    def _ranks(order: np.ndarray, new: np.ndarray) -> np.ndarray:
-        rank = np.empty(len(order), np.int64)
+    def _order(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in the order of (high, low), and the rank of each position; equal keys have equal ranks."""
+        n = len(high)
+        place = n.bit_length()
+        width = int(low.max()).bit_length()
+        if int(high.max()).bit_length() + width + place < 64:
+            packed = (high << width | low) << place | np.arange(n)
+            packed.sort()
+            order = packed & ((1 << place) - 1)
+            packed >>= place
+            new = packed[1:] != packed[:-1]
+        else:
+            order = np.lexsort((low, high))
+            new = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+        rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.append(False, new))
-        return rank
+        return order, rank
 
     def back(self, rows: np.ndarray) -> np.ndarray:
         """The rows of the suffixes one symbol longer."""
