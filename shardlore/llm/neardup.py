@@ -2,15 +2,17 @@
 
 A document is its set of distinct five-word shingles. Equal sets are put together first (by two 64-bit sums),
 and one document stands for them. The join then grows TREES independent trees: at the root of a tree, documents
-part by their value under the tree's minwise function; a node of more than NODE documents chooses BRANCHES
-further functions by its own path and its documents part again under each, so a document may go down several
-paths. Nodes of up to NODE documents are compared exhaustively by their MINWISE-value sketches, and pairs whose estimate
-reaches SKETCH are candidates. Nodes with the same documents as another are compared once. A node still
-too large at depth DEPTH shares that many minwise values and is taken as candidates as a whole.
-
-Recall: a pair of similarity s shares a root with probability s per tree and survives a further level with probability
-1 - (1 - s)^BRANCHES. At s = 0.75 with two further levels a tree finds 72 %, ten trees 99.999 %; the sketch
-of 64 values misses an estimate of 0.5 about once in 10^5 pairs at 0.75.
+part by their value under the tree's minwise function; a node of more than NODE documents chooses
+further functions (BRANCHES) by its own path and its documents part again under each, so a document may go down several
+paths; documents whose sketch is like that of the node's first one are candidates through it, and paths on which only documents meet
+that are connected by then end. With two branches at the first split and one afterwards, the paths of a document do not multiply. Nodes of up to NODE documents are
+compared exhaustively by their MINWISE-value sketches, and pairs whose estimate reaches SKETCH are candidates. Nodes with the same
+documents as another are compared once. A node still too large at depth DEPTH shares that many minwise values and is taken as
+candidates as a whole.
+
+Recall at similarity 0.75: a pair meets in a small root with probability 0.75 per tree, so ten trees find all but one in 10^6. In a crowded
+root it survives the splits with probabilities 0.94, 0.75 and 0.75, and ten trees find it in 99.3 % of cases even if it is
+connected through nobody else; the sketch of 64 values misses an estimate of 0.5 about once in 10^5 such pairs.
 
 Candidates are confirmed on full shingle sets: connected groups of candidates are brought together, each text once,
 and all pairs of a group that aren't connected yet are compared, so no cap and no sampling is involved.
@@ -24,6 +26,7 @@ is kept; repeated rows are returned as often; an empty table stays empty. Other
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,9 @@ from shardlore.llm.components import components
 
 MINWISE = 64
 TREES = 10
-BRANCHES = 3
-DEPTH = 6
+#: Functions under which a crowded node's documents part again, by the node's depth.
+BRANCHES = (2, 1, 1)
+DEPTH = len(BRANCHES) + 1
 NODE = 256
 SKETCH = 0.5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -112,29 +116,52 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
+def _near_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether each document's sketch is like that of its node's first document."""
+    for batch in batches:
+        sketches = [batch.column(c).flatten().to_numpy().reshape(-1, MINWISE) for c in ("mins", "first_mins")]
+        near = (sketches[0] == sketches[1]).sum(axis=1) >= SKETCH * MINWISE
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "rep", "first")), pa.array(near)], ["node", "rep", "first", "near"])
+
+
 def candidates(reps: DataFrame) -> DataFrame:
     """Edges (a, b) whose connected groups hold every pair that the trees found; reps: rep and mins."""
-    level = reps.select("rep", F.posexplode(F.slice("mins", 1, TREES)).alias("tree", "value")).select(F.xxhash64("tree", "value").alias("node"), "rep")
-    edges = None
+    level = reps.select("rep", F.posexplode(F.slice("mins", 1, TREES)).alias("tree", "value"))
+    level = level.select(F.xxhash64("tree", "value").alias("node"), "rep", F.col("rep").alias("head"))
+    small, through = None, []
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).filter("n > 1")
+        # head: a document that this one is known to be connected with. A node of one head has nothing to find.
+        sizes = level.groupBy("node").agg(
+            F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.min("rep").alias("first"),
+            F.min("head").alias("low"), F.max("head").alias("high"),
+        )
         # Nodes that hold the same documents are one node.
-        kept = common.stage(sizes.groupBy("n", "who").agg(F.min("node").alias("node")).select("node", "n"), "nodes")
+        kept = sizes.filter("n > 1 and low <> high").groupBy("n", "who").agg(F.min("node").alias("node"), F.min("first").alias("first")).select("node", "n", "first")
         rows = common.stage(level.join(kept, "node"), "paths")
-        small = rows.filter(F.col("n") <= NODE).select("node", "rep").join(reps.select("rep", "mins"), "rep")
-        found = small.repartition("node").sortWithinPartitions("node").mapInArrow(_compare, "a bigint, b bigint")
-        edges = found if edges is None else edges.union(found)
-        large = rows.filter(F.col("n") > NODE)
+        few = rows.filter(F.col("n") <= NODE).select("node", "rep")
+        small = few if small is None else small.union(few)
+        large = rows.filter(F.col("n") > NODE).select("node", "rep", "first")
         if large.isEmpty():
             break
         if depth == DEPTH:
-            heads = large.groupBy("node").agg(F.min("rep").alias("a"))
-            edges = edges.union(large.join(heads, "node").select("a", F.col("rep").alias("b")).filter("a < b"))
+            through.append(large.select(F.col("first").alias("a"), F.col("rep").alias("b")))
             break
+        # Documents like their node's first one are connected through it; a node of only such documents ends here.
+        sketch = reps.select(F.col("rep").alias("first"), F.col("mins").alias("first_mins")).join(large.select("first").distinct(), "first", "left_semi")
+        tested = large.join(reps.select("rep", "mins"), "rep").join(sketch, "first")
+        tested = common.stage(tested.mapInArrow(_near_head, "node bigint, rep bigint, first bigint, near boolean"), "tested")
+        through.append(tested.filter("near and rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")))
+        known = components(reduce(DataFrame.union, through), "heads").select(F.col("id").alias("rep"), F.col("component").alias("known"))
+        heads = common.stage(tested.select("node", "rep").join(known, "rep", "left").select("node", "rep", F.coalesce("known", "rep").alias("head")), "heads")
+        open_nodes = heads.groupBy("node").agg(F.min("head").alias("low"), F.max("head").alias("high")).filter("low <> high").select("node")
         chosen = F.pmod(F.xxhash64("node", "branch"), F.lit(MINWISE)).cast("int")
-        down = large.select("node", "rep").join(reps.select("rep", "mins"), "rep")
-        down = down.select("node", "rep", "mins", F.explode(F.sequence(F.lit(1), F.lit(BRANCHES))).alias("branch"))
-        level = common.stage(down.select(F.xxhash64("node", "branch", F.get("mins", chosen)).alias("node"), "rep"), "level")
+        down = heads.join(open_nodes, "node", "left_semi")
+        down = down.join(reps.select("rep", "mins"), "rep").withColumn("branch", F.explode(F.sequence(F.lit(1), F.lit(BRANCHES[depth - 1]))))
+        level = common.stage(down.select(F.xxhash64("node", "branch", F.get("mins", chosen)).alias("node"), "rep", "head"), "level")
+    # The small nodes of all depths are compared in one pass.
+    edges = small.join(reps.select("rep", "mins"), "rep").repartition("node").sortWithinPartitions("node").mapInArrow(_compare, "a bigint, b bigint")
+    for more in through:
+        edges = edges.union(more)
     return edges
 
 
