@@ -106,6 +106,15 @@ def _binary(*arrays: np.ndarray) -> list[pa.Array]:
     return [pa.array([a.tobytes()], pa.binary()) for a in arrays]
 
 
+def _planes(values: np.ndarray) -> np.ndarray:
+    """32-bit numbers as four rows of bytes, which compress far better."""
+    return values.astype(np.int32).view(np.uint8).reshape(-1, 4).T.copy()
+
+
+def _unplaned(cells: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.frombuffer(c, np.uint8).reshape(4, -1).T.copy().view(np.int32).reshape(-1) for c in cells])
+
+
 def _joined(table: pa.RecordBatch | pa.Table, column: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
 
@@ -123,7 +132,7 @@ def runs(docs: DataFrame, shards: int) -> DataFrame:
                 key = part.column("key").to_numpy()[row]
                 start = (start - at[row]).astype(np.int32)
                 for number, pick in _by_shard(_shard_of(mark, shards)):
-                    packed = _binary(key[pick], mark[pick].astype(np.uint32), start[pick], count[pick].astype(np.uint8))
+                    packed = _binary(key[pick], mark[pick].astype(np.uint32), _planes(start[pick]), count[pick].astype(np.uint8))
                     yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *packed], ["shard", "keys", "marks", "starts", "counts"])
 
     return docs.select("key", "text").mapInArrow(run, "shard int, keys binary, marks binary, starts binary, counts binary")
@@ -136,7 +145,11 @@ def repeated(packed: DataFrame, shards: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[_joined(b, c, k) for c, k in (("keys", np.int64), ("marks", np.uint32), ("starts", np.int32), ("counts", np.uint8))] for b in batches]
+        parts = [
+            [_joined(b, "keys", np.int64), _joined(b, "marks", np.uint32), _unplaned(b.column("starts").to_pylist()), _joined(b, "counts", np.uint8)]
+            for b in batches
+            if b.num_rows
+        ]
         if not parts:
             return
         key, mark, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -146,9 +159,32 @@ def repeated(packed: DataFrame, shards: int) -> DataFrame:
         twice = order[np.append(same, False) | np.append(False, same)]
         twice = twice[np.lexsort((start[twice], key[twice]))]
         twice = twice[np.append(True, (key[twice][1:] != key[twice][:-1]) | (start[twice][1:] != start[twice][:-1]))[: len(twice)]]
-        yield from _per_key(key[twice], start[twice], count[twice])
+        yield from _by_key_bucket(key[twice], start[twice], count[twice], shards)
+
+    return _per_document(packed.repartition(shards, "shard").mapInArrow(run, BUCKETS), shards)
+
+
+BUCKETS = "bucket int, keys binary, starts binary, counts binary"
+
+
+def _by_key_bucket(key: np.ndarray, start: np.ndarray, count: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Runs packed by a bucket of their keys: a shard sends a few rows, not one for each of its documents."""
+    for number, pick in _by_shard(key % buckets):
+        packed = _binary(key[pick], _planes(start[pick]), count[pick].astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *packed], ["bucket", "keys", "starts", "counts"])
+
+
+def _per_document(packed: DataFrame, buckets: int) -> DataFrame:
+    """One row for each key: key, starts and counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[_joined(b, "keys", np.int64), _unplaned(b.column("starts").to_pylist()), _joined(b, "counts", np.uint8)] for b in batches if b.num_rows]
+        if parts:
+            key, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(key, kind="stable")
+            yield from _per_key(key[order], start[order], count[order])
 
-    return packed.repartition(shards, "shard").mapInArrow(run, "key bigint, starts binary, counts binary")
+    return packed.repartition(buckets, "bucket").mapInArrow(run, "key bigint, starts binary, counts binary")
 
 
 def _per_key(key: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -169,15 +205,14 @@ SEGMENTS = "shard int, keys binary, ids binary, marks binary, starts binary, whi
 
 def segments(docs: DataFrame, wanted: DataFrame, shards: int) -> DataFrame:
     """The bytes under the wanted runs, packed by shard. docs: key, doc_id, text; wanted: key, starts, counts."""
-    lists = wanted.groupBy("key").agg(F.collect_list("starts").alias("starts"), F.collect_list("counts").alias("counts"))
-    joined = docs.select("key", "doc_id", "text").join(lists, "key")
+    joined = docs.select("key", "doc_id", "text").join(wanted, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text.chunks(batch, "text", 4 << 20):
                 data, at = text.flat(part.column("text"))
-                start = [np.frombuffer(b"".join(x), np.int32) for x in part.column("starts").to_pylist()]
-                count = np.concatenate([np.frombuffer(b"".join(x), np.uint8) for x in part.column("counts").to_pylist()]).astype(np.int64)
+                start = [np.frombuffer(x, np.int32) for x in part.column("starts").to_pylist()]
+                count = _joined(part, "counts", np.uint8).astype(np.int64)
                 row = np.repeat(np.arange(part.num_rows), [len(s) for s in start])
                 begin = np.concatenate(start).astype(np.int64) + at[row]
                 size = count + LENGTH - 1
@@ -361,10 +396,10 @@ def marks(packed: DataFrame, shards: int) -> DataFrame:
             high = int(np.searchsorted(mark, mark[max(high - 1, low)], "right"))
             a, b = np.searchsorted(which, [low, high])
             out = _mark(held, begin[low:high], size[low:high], key[a:b], document[a:b], start[a:b], which[a:b] - low)
-            yield from _per_key(*out)
+            yield from _by_key_bucket(*out, shards)
             low = high
 
-    return packed.repartition(shards, "shard").mapInArrow(run, "key bigint, starts binary, counts binary")
+    return _per_document(packed.repartition(shards, "shard").mapInArrow(run, BUCKETS), shards)
 
 
 def _mark(held, begin, size, key, document, start, which) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -400,8 +435,7 @@ def remove(docs: DataFrame) -> DataFrame:
     shards = max(8, -(-size // SHARD))
     wanted = common.stage(repeated(runs(keyed, shards), shards), "runs")
     found = common.stage(marks(segments(keyed, wanted, shards), shards), "marks")
-    lists = found.groupBy("key").agg(F.collect_list("starts").alias("starts"), F.collect_list("counts").alias("counts"))
-    joined = keyed.join(lists, "key", "left")
+    joined = keyed.join(found, "key", "left")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,9 +448,9 @@ def remove(docs: DataFrame) -> DataFrame:
                     sizes.append(len(body))
                     edge = np.zeros(len(body) + 1, np.int32)
                     if starts:
-                        start = np.frombuffer(b"".join(starts), np.int32).astype(np.int64)
+                        start = np.frombuffer(starts, np.int32).astype(np.int64)
                         np.add.at(edge, start, 1)
-                        np.add.at(edge, start + np.frombuffer(b"".join(counts), np.uint8) + LENGTH - 1, -1)
+                        np.add.at(edge, start + np.frombuffer(counts, np.uint8) + LENGTH - 1, -1)
                     gone = np.cumsum(edge[:-1]) > 0
                     flips = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                     spans.append([{"start": a, "end": b} for a, b in flips.reshape(-1, 2).tolist()])
