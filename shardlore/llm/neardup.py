@@ -121,7 +121,7 @@ def _near_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sketches = [batch.column(c).flatten().to_numpy().reshape(-1, MINWISE) for c in ("mins", "first_mins")]
         near = (sketches[0] == sketches[1]).sum(axis=1) >= SKETCH * MINWISE
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "rep", "first")), pa.array(near)], ["node", "rep", "first", "near"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "rep", "first", "mins")), pa.array(near)], ["node", "rep", "first", "mins", "near"])
 
 
 def candidates(reps: DataFrame) -> DataFrame:
@@ -149,14 +149,13 @@ def candidates(reps: DataFrame) -> DataFrame:
         # Documents like their node's first one are connected through it; a node of only such documents ends here.
         sketch = reps.select(F.col("rep").alias("first"), F.col("mins").alias("first_mins")).join(large.select("first").distinct(), "first", "left_semi")
         tested = large.join(reps.select("rep", "mins"), "rep").join(sketch, "first")
-        tested = common.stage(tested.mapInArrow(_near_head, "node bigint, rep bigint, first bigint, near boolean"), "tested")
+        tested = common.stage(tested.mapInArrow(_near_head, "node bigint, rep bigint, first bigint, mins array<int>, near boolean"), "tested")
         through.append(tested.filter("near and rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")))
         known = components(reduce(DataFrame.union, through), "heads").select(F.col("id").alias("rep"), F.col("component").alias("known"))
-        heads = common.stage(tested.select("node", "rep").join(known, "rep", "left").select("node", "rep", F.coalesce("known", "rep").alias("head")), "heads")
+        heads = common.stage(tested.select("node", "rep", "mins").join(known, "rep", "left").select("node", "rep", "mins", F.coalesce("known", "rep").alias("head")), "heads")
         open_nodes = heads.groupBy("node").agg(F.min("head").alias("low"), F.max("head").alias("high")).filter("low <> high").select("node")
         chosen = F.pmod(F.xxhash64("node", "branch"), F.lit(MINWISE)).cast("int")
-        down = heads.join(open_nodes, "node", "left_semi")
-        down = down.join(reps.select("rep", "mins"), "rep").withColumn("branch", F.explode(F.sequence(F.lit(1), F.lit(BRANCHES[depth - 1]))))
+        down = heads.join(open_nodes, "node", "left_semi").withColumn("branch", F.explode(F.sequence(F.lit(1), F.lit(BRANCHES[depth - 1]))))
         level = common.stage(down.select(F.xxhash64("node", "branch", F.get("mins", chosen)).alias("node"), "rep", "head"), "level")
     # The small nodes of all depths are compared in one pass.
     edges = small.join(reps.select("rep", "mins"), "rep").repartition("node").sortWithinPartitions("node").mapInArrow(_compare, "a bigint, b bigint")
