@@ -245,6 +245,23 @@ def test_crowded_nodes(spark, monkeypatch):
     assert got == classes(rows)
 
 
+def test_lone_pairs_in_crowded_nodes(spark, monkeypatch):
+    """Pairs alike in 44 of 64 values (0.75 less a standard deviation), each value shared with an eighth of all others."""
+    rng = np.random.default_rng(3)
+    pairs, rows = 1024, []
+    for i in range(pairs):
+        a = rng.integers(0, 8, neardup.MINWISE)
+        b = a.copy()
+        other = rng.permutation(neardup.MINWISE)[:20]
+        b[other] = (b[other] + rng.integers(1, 8, 20)) % 8
+        rows += [(2 * i, a.tolist()), (2 * i + 1, b.tolist())]
+    monkeypatch.setattr(neardup, "NODE", 14)
+    edges = neardup.candidates(spark.createDataFrame(rows, "rep long, mins array<int>").repartition(4))
+    root = {r.id: r.component for r in components.components(edges).collect()}
+    assert len({root.get(i, i) for i in range(2 * pairs)}) > pairs / 2
+    assert [i for i in range(pairs) if root.get(2 * i, 2 * i) != root.get(2 * i + 1, 2 * i + 1)] == []
+
+
 def test_near_duplicates_awkward(spark, awkward):
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(awkward).collect())
     assert [x[:1] + x[2:] for x in got if x[0] in "45"] == [("4", 4, True), ("4", 4, True), ("5", 4, False)]
