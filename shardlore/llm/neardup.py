@@ -18,9 +18,12 @@ Candidates are confirmed on full shingle sets: connected groups of candidates ar
 and all pairs of a group that aren't connected yet are compared, so no cap and no sampling is involved.
 Groups of more than GROUP shingles are compared block against block.
 
-Defined results: rows of one doc_id are one document with the union of their links; a text without words, an
+Each distinct set has a key of its own, a 64-bit hash of the doc_id and text of its first row; doc_id comes in with the results.
+
+Defined results: in the report, rows of one doc_id are one document with the union of their links; `decide` keeps one row of each
+class of texts and doesn't take texts of one doc_id for one another. A text without words, an
 empty or null one has no shingles and is linked with nothing; a null doc_id is linked with nothing, has no component and
-is kept; repeated rows are returned as often; an empty table stays empty. Other columns stay in `decide`.
+is kept; repeated rows are returned as often by the report; an empty table stays empty. Other columns stay in `decide`.
 """
 
 from __future__ import annotations
@@ -48,11 +51,11 @@ PERCENT = 75
 #: Shingles of candidate groups that one task compares at a time.
 GROUP = 2_000_000
 
-FEATURES = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, mins array<int>"
+FEATURES = "doc_id bigint, text_key bigint, n_shingles bigint, set_a bigint, set_b bigint, mins array<int>"
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, set size, set signature and minwise values of every row."""
+    """doc_id, a hash of the text, set size, set signature and minwise values of every row."""
     common.prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,11 +65,11 @@ def features(docs: DataFrame) -> DataFrame:
                 sums = shingles.signature(found, cut).view(np.int64)
                 mins = pa.FixedSizeListArray.from_arrays(shingles.minwise(found, cut, MINWISE).reshape(-1), MINWISE).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(cut)), pa.array(sums[:, 0]), pa.array(sums[:, 1]), mins],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "mins"],
+                    [part.column("doc_id"), part.column("text_key"), pa.array(np.diff(cut)), pa.array(sums[:, 0]), pa.array(sums[:, 1]), mins],
+                    ["doc_id", "text_key", "n_shingles", "set_a", "set_b", "mins"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, FEATURES)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, FEATURES)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -221,23 +224,37 @@ def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
     # A group of several blocks meets as pairs of blocks, each with itself and every other; most groups are one block.
     met = placed.select("team", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select(F.xxhash64("team", F.least("block", "other"), F.greatest("block", "other")).alias("team"), "rep")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(groups.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").select(F.xxhash64("doc_id", "text_key").alias("rep"), "text")
+    texts = keyed.join(groups.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
     return met.join(texts, "rep").repartition("team").sortWithinPartitions("team").mapInArrow(_confirm, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs."""
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The features of docs, and set_a, set_b, low and low_key of each distinct set: the doc_id and text_key that stand for its class."""
     known = common.stage(features(docs), "features")
     some = known.filter("n_shingles > 0 and doc_id is not null")
-    reps = common.stage(some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins"), F.first("n_shingles").alias("n_shingles")), "reps")
+    row = F.min(F.struct("doc_id", "text_key"))
+    reps = some.groupBy("set_a", "set_b").agg(row.alias("row"), F.first("mins").alias("mins"), F.first("n_shingles").alias("n_shingles"))
+    reps = common.stage(reps.select(F.xxhash64("row.doc_id", "row.text_key").alias("rep"), "set_a", "set_b", "row.*", "mins", "n_shingles"), "reps")
     maybe = components(candidates(reps), "candidates")
     teams = maybe.select(F.col("component").alias("team"), F.col("id").alias("rep"))
     teams = teams.union(teams.select("team", F.col("team").alias("rep"))).distinct()
     groups = common.stage(teams.join(reps.select("rep", "n_shingles"), "rep"), "teams")
-    found = links(docs, groups)
+    merged = components(links(docs, groups), "near")
+    sets = reps.select("rep", "set_a", "set_b", "doc_id", "text_key").join(merged, F.col("rep") == F.col("id"), "left")
+    sets = sets.select("set_a", "set_b", "doc_id", "text_key", F.coalesce("component", "rep").alias("class"))
+    least = sets.groupBy("class").agg(row.alias("least"))
+    low = sets.join(least, "class").select("set_a", "set_b", F.col("least.doc_id").alias("low"), F.col("least.text_key").alias("low_key"))
+    return known, common.stage(low, "classes")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs."""
+    known, low = classes(docs)
+    some = known.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "set_a", "set_b")
     # A doc_id with several texts joins their classes.
-    copies = some.join(reps.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).select("doc_id", "rep").filter("doc_id <> rep")
-    merged = components(found.union(copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), "near")
+    same = some.join(low, ["set_a", "set_b"]).select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
+    merged = components(same, "documents")
     out = known.select("doc_id", "n_shingles").join(merged, F.col("doc_id") == F.col("id"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -249,10 +266,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decide(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those that another document stands for: one row of each class of texts; every column stays.
+    """The rows of docs without those that another row stands for: one row of each class of texts; every column stays.
 
     Rows with a null doc_id stay.
     """
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(left.filter("doc_id is null"))
+    known, low = classes(docs)
+    some = known.filter("n_shingles > 0 and doc_id is not null").select("doc_id", F.col("text_key").alias("__text_key"), "set_a", "set_b")
+    gone = some.join(low, ["set_a", "set_b"]).filter((F.col("doc_id") != F.col("low")) | (F.col("__text_key") != F.col("low_key")))
+    keyed = docs.withColumn("__text_key", F.xxhash64("text"))
+    left = keyed.join(gone.select("doc_id", "__text_key").distinct(), ["doc_id", "__text_key"], "left_anti").select(*docs.columns, "__text_key")
+    one = left.filter("doc_id is not null").dropDuplicates(["doc_id", "__text_key"])
+    return one.union(left.filter("doc_id is null")).drop("__text_key")

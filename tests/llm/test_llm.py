@@ -272,6 +272,19 @@ def test_near_duplicates_awkward(spark, awkward):
     assert neardup.near_duplicates(empty(awkward)).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    def words(name, edit=None):
+        return " ".join(f"{edit or name}{k}" if k == 50 else f"{name}{k}" for k in range(100))
+
+    rows = [(1, words("a")), (1, words("b")), (2, words("a", "x")), (3, words("b", "y")), (4, words("c")), (5, words("c", "z")), (5, words("d")), (6, words("e")), (6, "e")]
+    for rows_now in (rows, rows[::-1]):
+        df = frame(spark, rows_now)
+        got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()}
+        assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 4, False), (6, 6, True)}
+        left = sorted((r.doc_id, r.text) for r in neardup.decide(df).collect())
+        assert left == sorted([rows[0], rows[1], rows[4], rows[6], rows[7], rows[8]])
+
+
 @pytest.mark.parametrize("alone", [0, 10**6])
 def test_components(spark, monkeypatch, alone):
     monkeypatch.setattr(components, "ALONE", alone)
