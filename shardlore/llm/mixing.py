@@ -4,8 +4,9 @@ Domains are the classes of the labels table (DOMAINS). A naive Bayes classifier
 labelled documents, gives each document a posterior for every domain. With t tokens and posterior p, a document
 kept at rate r adds r * t * p[d] to the expected tokens of domain d. Rates minimise the squared relative
 distance of the domains' expected totals from their targets, over r >= 0, by accelerated projected gradient:
-each step sums the domains' totals over all documents (one aggregation that returns one row) and moves
-every document's rate by its posterior.
+each step sums the domains' totals and moves every document's rate by its posterior. One aggregation brings the distinct posteriors, whose
+number the grid bounds, to the driver; the steps run there until the returned rates meet the targets, or until they stop getting closer,
+which gives a warning.
 
 The default token budget is the least at which no domain has to shrink on average, so scarce domains are
 repeated and the rest stays. copies is the rate rounded up with the probability of its fraction, decided
@@ -24,9 +25,11 @@ empty. Other columns stay.
 from __future__ import annotations
 
 import math
+import warnings
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,10 +51,9 @@ SYMBOLS = r"[!#$%&*+/<=>@\[\]^_{|}~\\]"
 ALL_BUCKETS = BUCKETS + 30
 #: Posteriors are rounded to multiples of 1/GRID, which bounds the number of distinct ones.
 GRID = 200
-STEPS = 30
-#: Steps between two writes of the rates, which cut the lineage.
-WRITE_EVERY = 8
-#: Relative error of every domain's total at which the steps end.
+#: The steps end as stalled if so many in a row lower the squared distance by less than this share.
+PATIENCE, GAIN = 1000, 0.01
+#: Relative error of every targeted domain's total at which the steps end.
 CLOSE = 3e-3
 
 
@@ -192,42 +194,60 @@ def rates(known: DataFrame, targets: dict[str, float] | None = None, budget: flo
     budget: expected tokens in all; None takes the least with which no domain shrinks. least: lower bound of the rates.
     """
     weights = [(targets or TARGETS).get(d, 0.0) for d in DOMAINS]
-    state = common.stage(known.groupBy("posterior").agg(F.sum("n_tokens").alias("n_tokens")).coalesce(1), "cells")
-    state = state.withColumns({"rate": F.lit(max(1.0, least)), "ahead": F.lit(max(1.0, least))})
-
-    def per_domain(make) -> Column:
-        return _plus([make(F.col("posterior")[k], k) for k in range(len(DOMAINS))])
-
-    def totals(column: str) -> list[float]:
-        row = state.agg(*(F.sum(F.col(column) * F.col("n_tokens") * F.col("posterior")[k]) for k in range(len(DOMAINS)))).first()
-        return [float(x or 0.0) for x in row]
-
-    natural = totals("rate")
+    # At most 20,301 rows of a few numbers.
+    cells = sorted((tuple(r["posterior"]), r["n_tokens"]) for r in known.groupBy("posterior").agg(F.sum("n_tokens").alias("n_tokens")).collect())
+    p, tokens = np.array([c[0] for c in cells]).reshape(-1, len(DOMAINS)), np.array([c[1] for c in cells], np.int64)
+    rate = _fit(p, tokens.astype(float), weights, budget, least)
+    table = pa.table({"posterior": pa.array(p.tolist(), pa.list_(pa.float64())), "n_tokens": tokens, "rate": rate})
+    return common.stage(known.sparkSession.createDataFrame(table), "rates")
+
+
+def _fit(p: np.ndarray, tokens: np.ndarray, weights: list[float], budget: float | None, least: float) -> np.ndarray:
+    """The rate of each row of posteriors p with so many tokens."""
+    rate = np.full(len(tokens), max(1.0, least))
+    mass = tokens[:, None] * p
+    natural = rate @ mass
     within = [k for k, w in enumerate(weights) if w > 0 and natural[k] > 0]
     if not within:
-        return state.drop("ahead")
+        return rate
     share = sum(weights[k] for k in within)
     budget = budget or max(natural[k] * share / weights[k] for k in within)
-    goal = [budget * weights[k] / share if k in within else natural[k] for k in range(len(DOMAINS))]
-    scale = [max(g, 1.0) for g in goal]
+    goal = np.array([budget * weights[k] / share if k in within else natural[k] for k in range(len(DOMAINS))])
+    # A domain without a target is held where it is against the whole budget only, so that a small one doesn't shorten the steps.
+    scale = np.array([max(g, 1.0) if k in within else max(budget, g, 1.0) for k, g in enumerate(goal)])
     # In the metric of token counts the curvature is the largest eigenvalue of the posteriors' Gram matrix; its largest row sum bounds it.
-    pairs = [
-        F.sum(F.col("n_tokens") * F.col("posterior")[j] / F.lit(scale[j]) * per_domain(lambda p, k: p / F.lit(scale[k]))) for j in range(len(DOMAINS))
-    ]
-    step, momentum = 1.0 / max(*map(float, state.agg(*pairs).first()), 1e-300), 1.0
-    for turn in range(STEPS):
-        error = [(a - g) / s for a, g, s in zip(totals("ahead"), goal, scale, strict=True)]
-        if turn and max(map(abs, error)) < CLOSE:
-            break
-        slope = per_domain(lambda p, k: p * F.lit(error[k] / scale[k]))
-        following = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
-        moved = state.withColumn("next", F.greatest(F.lit(float(least)), F.col("ahead") - F.lit(step) * slope))
-        ahead = F.col("next") + F.lit((momentum - 1) / following) * (F.col("next") - F.col("rate"))
-        state = moved.select("posterior", "n_tokens", F.col("next").alias("rate"), ahead.alias("ahead"))
-        momentum = following
-        if turn % WRITE_EVERY == WRITE_EVERY - 1:
-            state = common.stage(state, "rates")
-    return common.stage(state.drop("ahead"), "rates")
+    step = 1.0 / max(((mass.T @ p) / np.outer(scale, scale)).sum(axis=1).max(), 1e-300)
+
+    def errors(r: np.ndarray) -> np.ndarray:
+        return (r @ mass - goal) / scale
+
+    ahead, momentum, turn = rate, 1.0, 0
+    error = errors(rate)
+    distance = best = mark = error @ error
+    kept = rate
+    while np.abs(error[within]).max() >= CLOSE:
+        following = np.maximum(least, ahead - step * (p @ (errors(ahead) / scale)))
+        error, before = errors(following), distance
+        distance = error @ error
+        if distance > before:
+            # Too far: begin again without momentum.
+            momentum, ahead = 1.0, following
+        else:
+            growth = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
+            ahead, momentum = following + (momentum - 1) / growth * (following - rate), growth
+        rate, turn = following, turn + 1
+        if distance < best:
+            kept, best = rate, distance
+        if turn % PATIENCE == 0:
+            if best > (1 - GAIN) * mark:
+                break
+            mark = best
+    else:
+        return rate
+    missed = errors(kept)
+    if np.abs(missed[within]).max() >= CLOSE:
+        warnings.warn(f"mixing: targets missed by {', '.join(f'{DOMAINS[k]} {missed[k]:+.2%}' for k in within)}", stacklevel=3)
+    return kept
 
 
 def mix(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None, drop: tuple[str, ...] = (), **options) -> DataFrame:

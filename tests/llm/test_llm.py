@@ -429,6 +429,37 @@ def test_rates_meet_targets(spark):
     assert min(r.rate for r in bounded) >= 1.0
 
 
+def mixed(spark, rest, **options):
+    """Totals by domain before and after, of fifty mixed posteriors without the third domain and one that is all of it."""
+    rng = np.random.default_rng(4)
+    poor = np.round(rng.beta(0.5, 1.5, 50) * mixing.GRID) / mixing.GRID
+    rows = {(1 - q, q, 0.0): 0 for q in poor.tolist()}
+    for k in rows:
+        rows[k] = int(rng.integers(1000, 20_000))
+    rows[0.0, 0.0, 1.0] = max(1, int(sum(rows.values()) * rest))
+    known = spark.createDataFrame([(list(k), v) for k, v in rows.items()], "posterior array<double>, n_tokens long")
+    got = mixing.rates(known, **options).collect()
+    return np.sum([np.array(k) * v for k, v in rows.items()], axis=0), np.sum([np.array(r.posterior) * r.n_tokens * r.rate for r in got], axis=0)
+
+
+@pytest.mark.parametrize("rest", [0.01, 0.0005])
+def test_scarce_domain_meets_its_target(spark, rest):
+    before, after = mixed(spark, rest)
+    budget = max(b / w for b, w in zip(before, mixing.TARGETS.values(), strict=True))
+    assert np.abs(after / (budget * np.array(list(mixing.TARGETS.values()))) - 1).max() < mixing.CLOSE
+
+
+def test_residue_without_target(spark):
+    _, after = mixed(spark, 0.001, targets={"good": 0.85, "poor": 0.15}, least=1.0)
+    assert np.abs(after[:2] / after[:2].sum() - [0.85, 0.15]).max() < 0.002
+
+
+def test_missed_target_is_told(spark):
+    known = spark.createDataFrame([([0.5, 0.5, 0.0], 1000), ([0.4, 0.6, 0.0], 1000)], "posterior array<double>, n_tokens long")
+    with pytest.warns(UserWarning, match="targets missed"):
+        mixing.rates(known, {"good": 0.9, "poor": 0.1})
+
+
 def test_mixing_awkward(spark, awkward):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, None), (6, None, 1), (None, 1, 1), (8, None, None)], "doc_id long, quality int, toxic int")
     got = mixing.mix(awkward, labels)
