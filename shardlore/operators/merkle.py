@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # Tags of leaves and inner nodes.
 LEAF, NODE = "00", "01"
-#: Levels that an expression is built for: up to 2^LEVELS leaves.
-LEVELS = 12
 
 
 def chunks(text: Column, size: int) -> Column:
@@ -32,6 +30,11 @@ def padded(values: Column, padding: str | None = None) -> Column:
     return F.concat(values, F.array_repeat(fill, width - F.size(values)))
 
 
+def levels(leaves: Column) -> Column:
+    """A sequence of as many elements as levels lie between the leaves and the root, one at least."""
+    return F.sequence(F.lit(1), F.length(F.bin(F.greatest(F.size(leaves) - 1, F.lit(1)).cast("bigint"))))
+
+
 def level_up(values: Column) -> Column:
     """The level above; a single value stays."""
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(values) - 1, F.lit(1)), F.lit(2)), lambda i: node(F.element_at(values, i), F.element_at(values, i + 1)))
@@ -41,7 +44,7 @@ def level_up(values: Column) -> Column:
 def root(leaves: Column, padding: str | None = None) -> Column:
     """The root of an array of leaf digests; null of none."""
     start = padded(F.transform(leaves, leaf), padding)
-    top = F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), start, lambda v, _: level_up(v))
+    top = F.aggregate(levels(leaves), start, lambda v, _: level_up(v))
     return F.when(F.size(leaves) > 0, top[0])
 
 
@@ -58,7 +61,7 @@ def proof(leaves: Column, index: Column, padding: str | None = None) -> Column:
         path = F.when(F.size(s["level"]) > 1, F.concat(s["path"], F.array(sibling))).otherwise(s["path"])
         return F.struct(level_up(s["level"]).alias("level"), F.floor(s["at"] / 2).cast("int").alias("at"), path.alias("path"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), start, step)["path"]
+    return F.aggregate(levels(leaves), start, step)["path"]
 
 
 def verify(value: Column, path: Column, expected: Column) -> Column:

@@ -1,5 +1,7 @@
 """Fixed vectors of the scalar functions, and invariants of placement, sampling and coding."""
 
+import hashlib
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,6 +60,21 @@ def test_merkle(spark, n):
     assert [tuple(r) for r in each.select(good, bad).collect()] == [(True, False)] * n
 
 
+@pytest.mark.parametrize("n", [4096, 4097, 5000])
+def test_large_merkle(spark, n):
+    """Trees of 4,096 leaves and more: the root by hashlib, and proofs of leaves on both sides of that number."""
+    leaves = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(n)]
+    level = [hashlib.sha256(("00" + x).encode()).hexdigest() for x in leaves]
+    level += level[-1:] * ((1 << (n - 1).bit_length()) - n)
+    while len(level) > 1:
+        level = [hashlib.sha256(("01" + a + b).encode()).hexdigest() for a, b in zip(level[::2], level[1::2], strict=True)]
+    at = [0, 4095, n - 1]
+    df = spark.createDataFrame([(leaves, k) for k in at], "leaves array<string>, at int")
+    path = merkle.proof(F.col("leaves"), F.col("at"))
+    got = df.select(merkle.root(F.col("leaves")).alias("root"), merkle.verify(F.get("leaves", F.col("at")), path, F.lit(level[0])).alias("ok")).collect()
+    assert [tuple(r) for r in got] == [(level[0], True)] * len(at)
+
+
 def test_empty_merkle(spark):
     assert spark.createDataFrame([([],)], "leaves array<string>").select(merkle.root(F.col("leaves"))).first()[0] is None
 
