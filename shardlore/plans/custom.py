@@ -31,8 +31,19 @@ def placement_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id AS id, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS digest FROM documents WHERE doc_id < 200", views=False)
 def stripe_codec(spark: SparkSession, d: str) -> DataFrame:
+    """The part of stripe_codec_all that SQL checks."""
+    return _recoded(tables.read(spark, d, "documents").filter("doc_id < 200"))
+
+
+@query()
+def stripe_codec_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every document by the way of its shards."""
+    return _recoded(tables.read(spark, d, "documents"))
+
+
+def _recoded(docs: DataFrame) -> DataFrame:
     """Texts encoded to 4 + 2 shards, two of them lost, and decoded again."""
-    data = tables.read(spark, d, "documents").filter("doc_id < 200").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("data"))
+    data = docs.select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("data"))
     left = codec.encode_stripes(data, 4, 2).filter((F.col("idx") != F.col("id") % 6) & (F.col("idx") != (F.col("id") + 2) % 6))
     back = codec.decode_stripes(left, data.select("id", F.octet_length("data").alias("size")), 4, 2)
     return back.select("id", F.octet_length("data").cast("bigint").alias("size"), F.sha2("data", 256).alias("digest"))

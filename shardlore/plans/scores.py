@@ -213,7 +213,14 @@ WITH c AS (SELECT doc_id, k, sha256(text[k * 1024 + 1 : (k + 1) * 1024]) AS h FR
   SELECT doc_id, text, unnest(range(0, greatest((length(text) + 1023) // 1024, 1))) AS k FROM documents WHERE doc_id < 300))
 SELECT doc_id, CAST(count(*) AS BIGINT) AS chunks, sha256(string_agg(h, '' ORDER BY k)) AS digest FROM c GROUP BY doc_id""", views=False)
 def chunk_hashes(spark: SparkSession, d: str) -> DataFrame:
-    docs = tables.read(spark, d, "documents").filter("doc_id < 300")
+    """The part of chunk_hashes_all that SQL checks."""
+    return chunk_hashes_all(spark, d).filter("doc_id < 300")
+
+
+@query()
+def chunk_hashes_all(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks and digest of every document."""
+    docs = tables.read(spark, d, "documents")
     hashes = merkle.chunks(F.col("text"), 1024)
     return docs.select("doc_id", hashes.alias("h")).select("doc_id", F.size("h").cast("bigint").alias("chunks"), F.sha2(F.array_join("h", ""), 256).alias("digest"))
 
