@@ -74,10 +74,16 @@ def rebalance_progress(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_placed('p')}, {_placed('q', 'true', 2)} SELECT DISTINCT uid, CAST(pg AS BIGINT) AS pg FROM (SELECT * FROM p UNION ALL SELECT * FROM q) WHERE uid <= 20")
 def owned_pgs(spark: SparkSession, d: str) -> DataFrame:
+    """The part of owned_pgs_all that SQL checks."""
+    return owned_pgs_all(spark, d).filter("uid <= 20")
+
+
+@query()
+def owned_pgs_all(spark: SparkSession, d: str) -> DataFrame:
     """The groups that a node owns under either version of placement."""
     n = nodes(spark, d)
     both = placement.group_placement(n, PGS, SLOTS).unionByName(placement.group_placement(n, PGS, SLOTS, version=2))
-    return both.filter("uid <= 20").select("uid", "pg").distinct()
+    return both.select("uid", "pg").distinct()
 
 
 @query(f"""WITH {_placed('p')}, fr AS (SELECT pg, uid, row_number() OVER (PARTITION BY pg ORDER BY uid) - 1 AS rn, count(*) OVER (PARTITION BY pg) AS n
@@ -103,8 +109,15 @@ own AS (SELECT g.pg, e.seen, (g.pg * 31 + e.seen * 7) % 97 + 1 AS uid FROM (SELE
 m AS (SELECT file_id, uid, max(seen) AS seen FROM ep JOIN own ON own.pg = ep.pg AND seen BETWEEN epoch - 3 AND epoch GROUP BY file_id, uid)
 SELECT file_id, uid, seen, row_number() OVER (PARTITION BY file_id ORDER BY seen DESC, uid) AS rank FROM m""")
 def owner_lookback(spark: SparkSession, d: str) -> DataFrame:
+    """The part of owner_lookback_all that SQL checks."""
+    return owner_lookback_all(spark, d).filter("file_id % 10 = 0")
+
+
+@query()
+def owner_lookback_all(spark: SparkSession, d: str) -> DataFrame:
+    """Owners of every file's group within three epochs, the latest first."""
     f = files(spark, d)
-    pieces = f.filter("file_id % 10 = 0").select("file_id", "epoch", scoring.placement_group(F.col("file_id").cast("string"), PGS).alias("pg"))
+    pieces = f.select("file_id", "epoch", scoring.placement_group(F.col("file_id").cast("string"), PGS).alias("pg"))
     epochs = f.select(F.col("epoch").alias("seen")).distinct().join(F.broadcast(spark.range(PGS).withColumnRenamed("id", "pg")))
     owned = epochs.select("pg", "seen", ((F.col("pg") * 31 + F.col("seen") * 7) % 97 + 1).alias("uid"))
     return placement.lookback(pieces, owned, 3)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardlore.functions import naming, scoring
@@ -82,7 +82,17 @@ def index_integrity(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT sha256(CAST(file_id AS VARCHAR)) || ':' || uid || ':' || lower(hex(CAST(idx AS VARCHAR))) AS key, CAST(count(*) AS BIGINT) AS n FROM shards WHERE file_id < 2000 GROUP BY 1""")
 def attestation_keys(spark: SparkSession, d: str) -> DataFrame:
-    s = shards(spark, d).filter("file_id < 2000")
+    """The part of attestation_keys_all that SQL checks."""
+    return _keys(shards(spark, d).filter("file_id < 2000"))
+
+
+@query()
+def attestation_keys_all(spark: SparkSession, d: str) -> DataFrame:
+    """Shards by their key, over all files."""
+    return _keys(shards(spark, d))
+
+
+def _keys(s: DataFrame) -> DataFrame:
     key = naming.dedup_key(F.sha2(F.col("file_id").cast("string"), 256), F.col("uid"), F.lower(F.hex(F.col("idx").cast("string"))))
     return s.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
 
@@ -90,8 +100,18 @@ def attestation_keys(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT CAST(count(*) FILTER (kind <> 'error') AS BIGINT) AS passed, CAST(count(*) FILTER (kind = 'error') AS BIGINT) AS failed,
   list_sort(list(id) FILTER (kind = 'error' AND id < 500))::VARCHAR AS failed_ids FROM reports""")
 def batch_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    r = reports(spark, d)
-    bad = F.sort_array(F.collect_list(F.when((F.col("kind") == "error") & (F.col("id") < 500), F.col("id"))))
+    """Counts of all reports, and the failed ids that SQL checks."""
+    return _verdicts(reports(spark, d), F.col("id") < 500)
+
+
+@query()
+def batch_verdicts_all(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of all reports, and all failed ids."""
+    return _verdicts(reports(spark, d), F.lit(True))
+
+
+def _verdicts(r: DataFrame, listed: Column) -> DataFrame:
+    bad = F.sort_array(F.collect_list(F.when((F.col("kind") == "error") & listed, F.col("id"))))
     return r.agg(F.count_if(F.col("kind") != "error").alias("passed"), F.count_if(F.col("kind") == "error").alias("failed"), F.concat(F.lit("["), F.array_join(bad, ", "), F.lit("]")).alias("failed_ids"))
 
 

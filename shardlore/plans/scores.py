@@ -179,8 +179,14 @@ SELECT file_id, idx, string_agg(CAST(chunk AS VARCHAR), ',' ORDER BY chunk) AS c
   SELECT file_id, idx, chunk, row_number() OVER (PARTITION BY file_id, idx ORDER BY sha256(file_id || ':' || idx || ':' || chunk)) AS r
   FROM (SELECT file_id, idx, greatest(max(bytes), 1) AS n FROM shards WHERE file_id % 10 = 0 GROUP BY file_id, idx), LATERAL (SELECT unnest(range(0, n)) AS chunk)) WHERE r <= 4 GROUP BY file_id, idx""")
 def challenge_indices(spark: SparkSession, d: str) -> DataFrame:
-    """Four distinct chunks (or all) of each shard of the tenth of files under audit."""
-    s = shards(spark, d).filter("file_id % 10 = 0").groupBy("file_id", "idx").agg(F.greatest(F.max("bytes"), F.lit(1)).alias("n"))
+    """The part of challenge_indices_all that SQL checks: a tenth of the files."""
+    return challenge_indices_all(spark, d).filter("file_id % 10 = 0")
+
+
+@query()
+def challenge_indices_all(spark: SparkSession, d: str) -> DataFrame:
+    """Four distinct chunks (or all) of each shard."""
+    s = shards(spark, d).groupBy("file_id", "idx").agg(F.greatest(F.max("bytes"), F.lit(1)).alias("n"))
 
     def rank(chunk):
         return F.struct(F.sha2(F.concat_ws(":", F.col("file_id").cast("string"), F.col("idx").cast("string"), chunk.cast("string")), 256).alias("h"), chunk.alias("c"))
@@ -197,6 +203,12 @@ def round_robin_audit(spark: SparkSession, d: str) -> DataFrame:
     return cluster.from_cursor(shards(spark, d).filter("file_id < 4000"), ["file_id", "idx", "part"], 137, 50).select("file_id", "idx")
 
 
+@query()
+def round_robin_audit_all(spark: SparkSession, d: str) -> DataFrame:
+    """round_robin_audit over the list of all shards."""
+    return cluster.from_cursor(shards(spark, d), ["file_id", "idx", "part"], 137, 50).select("file_id", "idx")
+
+
 @query(f"""SELECT id, retries FROM (SELECT id, ts, id % 8 AS retries FROM reports WHERE kind = 'error')
 WHERE retries < 10 AND ts + least(30 * CAST(2 ** retries AS BIGINT), 3600) <= (SELECT max(ts) FROM reports) - 864000""")
 def retry_due(spark: SparkSession, d: str) -> DataFrame:
@@ -235,8 +247,14 @@ t AS (SELECT file_id, width, k, h FROM p
     SELECT file_id, width, k, h, lead(h) OVER (PARTITION BY file_id, width ORDER BY k) AS next FROM t WHERE width > 1) a WHERE a.k % 2 = 0)
 SELECT file_id, h AS root FROM t WHERE width = 1""".replace("WITH RECURSIVE", "WITH"))
 def merkle_root(spark: SparkSession, d: str) -> DataFrame:
+    """The part of merkle_root_all that SQL checks."""
+    return merkle_root_all(spark, d).filter("file_id % 20 = 0")
+
+
+@query()
+def merkle_root_all(spark: SparkSession, d: str) -> DataFrame:
     """The Merkle root of each file's shard hashes; leaves and inner nodes have tags of their own, the last leaf pads."""
-    s = shards(spark, d).filter("file_id % 20 = 0").select("file_id", "idx").distinct()
+    s = shards(spark, d).select("file_id", "idx").distinct()
     hashes = s.withColumn("h", F.sha2(F.concat_ws(":", F.col("file_id").cast("string"), F.col("idx").cast("string")), 256))
     lists = hashes.groupBy("file_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "h"))), lambda x: x["h"]).alias("leaves"))
     return lists.select("file_id", merkle.root(F.col("leaves")).alias("root"))
