@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches are cut at this many bytes, so that very long texts don't fill a worker's memory.
@@ -51,3 +54,24 @@ def unstage(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         at = spark._jvm.org.apache.hadoop.fs.Path(folder)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Whole groups of rows that arrive sorted by key, many small groups to a table."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        if not len(keys):
+            continue
+        change = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if held and held[-1].column(key)[-1].as_py() != batch.column(key)[0].as_py():
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(change):
+            last = int(change[-1])
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)

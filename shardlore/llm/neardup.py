@@ -72,30 +72,9 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, FEATURES)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Whole groups of rows that arrive sorted by key, many small groups to a table."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        if not len(keys):
-            continue
-        change = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        if held and held[-1].column(key)[-1].as_py() != batch.column(key)[0].as_py():
-            yield pa.Table.from_batches(held)
-            held = []
-        if len(change):
-            last = int(change[-1])
-            yield pa.Table.from_batches([*held, batch.slice(0, last)])
-            held = [batch.slice(last)]
-        else:
-            held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate edges of nodes: a spanning forest of the pairs whose sketches are alike."""
-    for table in _groups(batches, "node"):
+    for table in common.groups(batches, "node"):
         node = table.column("node").to_numpy()
         rep = table.column("rep").to_numpy()
         mins = table.column("mins").combine_chunks()
@@ -169,7 +148,7 @@ def candidates(reps: DataFrame) -> DataFrame:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of pairs whose full sets reach the similarity, enough of them to connect each group as all its links do."""
-    for table in _groups(batches, "team"):
+    for table in common.groups(batches, "team"):
         table = table.combine_chunks()
         team, rep = table.column("team").to_numpy(), table.column("rep").to_numpy()
         first = np.append(0, np.flatnonzero(team[1:] != team[:-1]) + 1)

@@ -5,17 +5,20 @@ document. The corpus is cut as for a prefix-free parse: each window of LENGTH by
 hash among its GRAM-byte substrings, which depends on the window's bytes alone. Equal windows so have
 equal anchors, and indexes of different anchors never need each other.
 
-1. The anchors' hashes are counted by shard; only runs of windows whose anchor hash occurs twice or more go on.
-2. The bytes under those runs (segments) are brought to their anchor's shard; equal segments of one task's documents travel once.
-3. A shard builds, for a bounded number of distinct segments at a time, their suffix order by prefix doubling, the
-   run-length Burrows-Wheeler transform (run heads, run symbols, the LF-mapping of each run's head) and, at run ends, suffix
-   samples. Every segment is streamed backwards through the runs by LF-mapping; the row it is in gives its matching
-   statistic: whether the suffix shares LENGTH bytes with a neighbouring row, and the earliest place in the corpus of
-   the rows that share them. Windows with an earlier place are marked.
-4. Marks return to their documents, whose covered bytes are removed.
-
-Work per task is bounded by SHARD bytes of text on average and BATCH symbols for an index; a passage that very many documents share has
-one distinct segment and a record of a few bytes for each task that holds it and each place where it stands.
+1. Runs of windows are told by their anchors' hashes. A task knows by itself which hashes it has seen twice; of these it sends one token to the
+   hash's shard, of the others the run. Shards answer with the runs whose hash is repeated elsewhere.
+2. The bytes under repeated runs (segments) go to their anchor's shard. A task sends each distinct segment once, with its earliest place, so
+   a passage that very many documents share reaches its shard once from a task and not once from a document.
+3. A shard builds, for a bounded number of symbols at a time, the run-length Burrows-Wheeler transform of its distinct segments and keeps
+   its runs and the samples at their ends: for each run's first row its text position, the position of the row above (the end of the run before), and
+   the bytes that the two share. Between samples both positions move on together, so the samples give every suffix's matching statistic:
+   how many bytes it shares with the suffix sorted above it, and where that one starts. Windows that share LENGTH bytes
+   with the window above are equal; chains of such windows are classes, and each window with an earlier one in its class is marked.
+4. Shards answer for the earliest place of each segment only. Repeated runs without an answer are later places of a segment and go whole.
+
+Memory is bounded by SHARD bytes of text on average in a shard (several shards may share a task, one after another), by HELD bytes in a sending task and by BATCH symbols
+for an index. An anchor with more distinct surroundings than that is parted by anchors of another hash. Segments are taken for equal only if their bytes
+are. Documents are told apart by 96 hash bits of id and text.
 
 Defined results: texts are UTF-8 bytes; a null text is empty and removes nothing; rows equal in doc_id and text are one
 document and give equal rows; rows of one doc_id with different texts come in the order of a hash of the text; a null doc_id
@@ -36,20 +39,28 @@ from shardlore.llm import common, text
 LENGTH = 100
 #: Long enough that prose rarely repeats it by chance.
 GRAM = 36
-#: Bytes of text for each shard of anchors.
-SHARD = 16 << 20
+#: Bytes of text for each shard of anchors, and the most partitions that shards are dealt to.
+SHARD, PARTITIONS = 4 << 20, 1 << 16
+#: Bytes of text whose runs, and of segments, that a task holds back to send each once.
+HELD = 16 << 20
+#: Windows that a long text is cut to.
+PIECE = 4 << 20
 #: Windows of one segment at most.
 WINDOWS = 77
 #: Symbols of one index.
 BATCH = 3 << 19
-#: Symbols that the first sort compares, and the depth, reached by tripling, from which LENGTH is put together.
-DEPTH, SHARED = 3, 96
+#: How often an anchor that is too common is parted by another hash.
+LEVELS = 8
+#: Symbols that the first sort compares.
+DEPTH = 3
+#: Ends a segment; no byte of UTF-8.
+SEPARATOR = 255
 _RAW = text.stream(41, 256)
 
 
-def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, at: np.ndarray, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows whose anchors' hashes are equal: row, first window's start in the data, number of windows, anchor hash, and whether
-    the anchor stands more than once under the run, so that windows of the run itself may be equal."""
+    the anchor stands more than once under the run, so that windows of the run itself may be equal. level: which hash chooses the anchors."""
     n = len(data) - LENGTH + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
@@ -62,9 +73,7 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     starts = np.flatnonzero(np.cumsum(inside[:n]))
     if not len(starts):
         return none, none, none, none.astype(np.uint64), none.astype(bool)
-    total, down = _totals(data)
-    with np.errstate(over="ignore"):
-        grams = best = text.mix((total[GRAM:] - total[:-GRAM]) * down[: len(data) - GRAM + 1])
+    grams = best = _grams(data, level)
     width, span = LENGTH - GRAM + 1, 1
     while span < width:
         step = min(span, width - span)
@@ -90,223 +99,333 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return row[first], begin, count, mark[first], again
 
 
-def _shard_of(marks: np.ndarray, shards: int) -> np.ndarray:
-    return (marks >> np.uint64(32)).astype(np.int64) % shards
+def _grams(data: np.ndarray, level: int = 0) -> np.ndarray:
+    """The hash of each GRAM bytes."""
+    total, down = _totals(data)
+    with np.errstate(over="ignore"):
+        return text.mix((total[GRAM:] - total[:-GRAM]) * down[: len(data) - GRAM + 1] + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    if not len(shard):
-        return
-    order = np.argsort(shard, kind="stable")
-    numbers, first = np.unique(shard[order], return_index=True)
-    yield from zip(numbers.tolist(), np.split(order, first[1:]), strict=True)
+def _totals(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up, down = text.Powers.to(len(data))
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_RAW[data] * up[: len(data)], out=total[1:])
+    return total, down
 
 
-def _binary(*arrays: np.ndarray) -> list[pa.Array]:
-    return [pa.array([a.tobytes()], pa.binary()) for a in arrays]
+def _marks(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The anchor hash of the windows that start at `begin`."""
+    grams = _grams(data) if len(data) >= GRAM else np.zeros(0, np.uint64)
+    out = np.empty(len(begin), np.uint64)
+    for low in range(0, len(begin), 1 << 14):
+        out[low : low + (1 << 14)] = grams[begin[low : low + (1 << 14), None] + np.arange(LENGTH - GRAM + 1)].min(axis=1)
+    return out
 
 
-def _planes(values: np.ndarray) -> np.ndarray:
-    """32-bit numbers as four rows of bytes, which compress far better."""
-    return values.astype(np.int32).view(np.uint8).reshape(-1, 4).T.copy()
+def _eight(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, read where they stand; zeros follow the data."""
+    padded = np.zeros(len(data) + LENGTH + WINDOWS + 16, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+
+
+def shared(eight: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many bytes from places a and b on are equal, `most` at most."""
+    out, live, done = most.copy(), np.flatnonzero(most > 0), 0
+    while len(live):
+        other = eight[a[live] + done] ^ eight[b[live] + done]
+        apart = np.flatnonzero(other)
+        # The lowest byte that isn't zero: its bits below the lowest set one are counted in a float's exponent.
+        lowest = np.frexp((other[apart] & (~other[apart] + np.uint64(1))).astype(np.float64))[1] - 1
+        out[live[apart]] = np.minimum(out[live[apart]], done + lowest // 8)
+        done += 8
+        live = live[(other == 0) & (most[live] > done)]
+    return out
 
 
-def _unplaned(cells: list[bytes]) -> np.ndarray:
-    return np.concatenate([np.frombuffer(c, np.uint8).reshape(4, -1).T.copy().view(np.int32).reshape(-1) for c in cells])
+def _distinct(data: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of each distinct segment the number of its earliest place. Hashes bring equal segments together, bytes decide."""
+    total, down = _totals(data)
+    with np.errstate(over="ignore"):
+        content = text.mix((total[begin + size] - total[begin]) * down[begin] + size.astype(np.uint64))
+    order = np.lexsort((place, content))
+    new = np.append(True, content[order][1:] != content[order][:-1])[: len(order)]
+    first = order[new][np.cumsum(new) - 1]
+    alike = (size[order] == size[first]) & (shared(_eight(data), begin[order], begin[first], np.minimum(size[order], size[first])) == size[order])
+    return order[new | ~alike]
+
+
+def _rank(*ids: np.ndarray) -> np.ndarray:
+    """The number of each document in the order of ids, the first one first."""
+    order = np.lexsort(ids[::-1])
+    new = np.zeros(len(order), bool)
+    for x in ids:
+        new[1:] |= x[order][1:] != x[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
 
-def _joined(table: pa.RecordBatch | pa.Table, column: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of the segments, one after another."""
+    at = np.cumsum(size)
+    return data[np.arange(int(at[-1]) if len(at) else 0) + np.repeat(begin - (at - size), size)]
 
 
-def runs(docs: DataFrame, shards: int) -> DataFrame:
-    """Every anchor's run of windows, packed by shard: keys, hashes, starts, counts. docs: key, text."""
+# Rows packed by a number (a shard of anchors, or a bucket of documents): columns of fixed-width numbers as bytes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text.chunks(batch, "text"):
-                data, at = text.flat(part.column("text"))
-                row, start, count, mark, again = anchors(data, at)
-                # A run with equal windows of its own is sent twice, as its hash occurs twice.
-                row, start, count, mark = (np.concatenate([x, x[again]]) for x in (row, start, count, mark))
-                key = part.column("key").to_numpy()[row]
-                start = (start - at[row]).astype(np.int32)
-                for number, pick in _by_shard(_shard_of(mark, shards)):
-                    packed = _binary(key[pick], mark[pick].astype(np.uint32), _planes(start[pick]), count[pick].astype(np.uint8))
-                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *packed], ["shard", "keys", "marks", "starts", "counts"])
 
-    return docs.select("key", "text").mapInArrow(run, "shard int, keys binary, marks binary, starts binary, counts binary")
+def _packed(number: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not len(number):
+        return
+    order = np.argsort(number, kind="stable")
+    numbers, first = np.unique(number[order], return_index=True)
+    for n, pick in zip(numbers.tolist(), np.split(order, first[1:]), strict=True):
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([_planes(c[pick])], pa.binary()) for c in columns.values())], ["number", *columns])
 
 
-def repeated(packed: DataFrame, shards: int) -> DataFrame:
-    """key, starts and counts of the runs whose anchor hash occurs more than once in its shard.
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, which compress far better."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
 
-    Shards are told by the hash's upper half and compare its lower one: a chance match costs a look, not a wrong result.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [
-            [_joined(b, "keys", np.int64), _joined(b, "marks", np.uint32), _unplaned(b.column("starts").to_pylist()), _joined(b, "counts", np.uint8)]
-            for b in batches
-            if b.num_rows
-        ]
-        if not parts:
-            return
-        key, mark, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.argsort(mark)
-        same = mark[order][1:] == mark[order][:-1]
-        twice = order[np.append(same, False) | np.append(False, same)]
-        twice = twice[np.lexsort((start[twice], key[twice]))]
-        twice = twice[np.append(True, (key[twice][1:] != key[twice][:-1]) | (start[twice][1:] != start[twice][:-1]))[: len(twice)]]
-        yield from _by_key_bucket(key[twice], start[twice], count[twice], shards)
+def _opened(tables: list[pa.RecordBatch], column: str, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    cells = [c for t in tables for c in t.column(column).to_pylist()]
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(c, np.uint8).reshape(width, -1).T.copy().view(kind).reshape(-1) for c in cells)])
 
-    return _per_document(packed.repartition(shards, "shard").mapInArrow(run, BUCKETS), shards)
 
+def _dealt(df: DataFrame, shards: int) -> DataFrame:
+    return df.repartition(min(shards, PARTITIONS), "number").sortWithinPartitions("number")
 
-BUCKETS = "bucket int, keys binary, starts binary, counts binary"
+
+def _shard_of(marks: np.ndarray, shards: int) -> np.ndarray:
+    return (marks >> np.uint64(32)).astype(np.int64) % shards
 
 
-def _by_key_bucket(key: np.ndarray, start: np.ndarray, count: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Runs packed by a bucket of their keys: a shard sends a few rows, not one for each of its documents."""
-    for number, pick in _by_shard(key % buckets):
-        packed = _binary(key[pick], _planes(start[pick]), count[pick].astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *packed], ["bucket", "keys", "starts", "counts"])
+RUNS = "number int, known boolean, keys binary, checks binary, marks binary, starts binary, counts binary"
+
+
+def runs(docs: DataFrame, shards: int) -> DataFrame:
+    """Every anchor's run of windows. docs: key, check, text.
 
+    Rows that are known are runs whose hash the task has seen twice, packed by bucket of key; the others are runs of hashes that it has
+    seen once, packed by shard, and tokens (of no window) for the hashes that it has seen twice.
+    """
 
-def _per_document(packed: DataFrame, buckets: int) -> DataFrame:
-    """One row for each key: key, starts and counts."""
+    def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        key, check, mark, start, count, again = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(mark, kind="stable")
+        same = mark[order][1:] == mark[order][:-1]
+        twice = np.empty(len(order), bool)
+        twice[order] = np.append(same, False) | np.append(False, same)
+        twice |= again
+        token = np.unique(mark[twice], return_index=True)[1]
+        token = np.flatnonzero(twice)[token]
+        for known, pick, number in ((True, np.flatnonzero(twice), key % shards), (False, np.append(np.flatnonzero(~twice), token), _shard_of(mark, shards))):
+            windows = np.where(twice[pick] & (not known), 0, count[pick]).astype(np.uint8)
+            for rows in _packed(number[pick], keys=key[pick], checks=check[pick], marks=mark[pick].astype(np.uint32), starts=start[pick], counts=windows):
+                yield rows.add_column(1, "known", pa.array([known]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[_joined(b, "keys", np.int64), _unplaned(b.column("starts").to_pylist()), _joined(b, "counts", np.uint8)] for b in batches if b.num_rows]
-        if parts:
-            key, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(key, kind="stable")
-            yield from _per_key(key[order], start[order], count[order])
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for part in text.chunks(batch, "text"):
+                data, at = text.flat(part.column("text"))
+                keys, checks = part.column("key").to_numpy(), part.column("check").to_numpy()
+                # A chunk above PIECE is one long text.
+                for low in range(0, max(1, len(data)), PIECE) if len(data) > PIECE else (0,):
+                    piece = data[low : low + PIECE + LENGTH - 1] if len(data) > PIECE else data
+                    row, start, count, mark, again = anchors(piece, np.array([0, len(piece)]) if len(data) > PIECE else at)
+                    held.append((keys[row], checks[row], mark, (start - at[row] + low).astype(np.int32), count, again))
+                size += len(data)
+                if size >= HELD:
+                    yield from send(held)
+                    held, size = [], 0
+        if held:
+            yield from send(held)
+
+    return docs.select("key", "check", "text").mapInArrow(run, RUNS)
 
-    return packed.repartition(buckets, "bucket").mapInArrow(run, "key bigint, starts binary, counts binary")
 
+PLACES = "number int, keys binary, checks binary, starts binary, counts binary"
 
-def _per_key(key: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per key of ascending keys."""
+
+def _places(tables: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(_opened(tables, c, t) for c, t in (("keys", np.int64), ("checks", np.int32), ("starts", np.int32), ("counts", np.uint8)))
+
+
+def repeated(found: DataFrame, shards: int) -> DataFrame:
+    """The runs whose anchor hash occurs more than once, packed by bucket of key. found: `runs`.
+
+    Shards are told by the hash's upper half and compare its lower one: a chance match costs a look, not a wrong result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in common.groups(batches, "number"):
+            tables = table.to_batches()
+            key, check, start, count = _places(tables)
+            mark = _opened(tables, "marks", np.uint32)
+            order = np.argsort(mark)
+            same = mark[order][1:] == mark[order][:-1]
+            twice = order[np.append(same, False) | np.append(False, same)]
+            twice = twice[count[twice] > 0]
+            yield from _packed(key[twice] % shards, keys=key[twice], checks=check[twice], starts=start[twice], counts=count[twice])
+
+    asked = common.stage(_dealt(found.filter("not known").drop("known"), shards).mapInArrow(run, PLACES), "answers")
+    return asked.union(found.filter("known").select(*asked.columns))
+
+
+def _per_key(key: np.ndarray, check: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row for each document of places in the order of documents."""
     if not len(key):
         return
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1])))
 
     def cells(values: np.ndarray) -> pa.Array:
         offsets = np.append(first, len(values)).astype(np.int32) * values.itemsize
         return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
-    yield pa.RecordBatch.from_arrays([pa.array(key[first]), cells(start), cells(count)], ["key", "starts", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(check[first]), cells(start), cells(count)], ["key", "check", "starts", "counts"])
+
+
+DOCUMENTS = "key bigint, check int, starts binary, counts binary"
+
+
+def per_document(wanted: DataFrame, shards: int) -> DataFrame:
+    """The repeated runs of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in common.groups(batches, "number"):
+            key, check, start, count = _places(table.to_batches())
+            order = np.lexsort((start, check, key))
+            key, check, start, count = key[order], check[order], start[order], count[order]
+            new = np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]) | (start[1:] != start[:-1]))[: len(key)]
+            yield from _per_key(key[new], check[new], start[new], count[new])
+
+    return _dealt(wanted, shards).mapInArrow(run, DOCUMENTS)
 
 
-SEGMENTS = "shard int, keys binary, ids binary, marks binary, starts binary, which binary, sizes binary, bytes binary"
+def removals(wanted: DataFrame, answers: DataFrame, shards: int) -> DataFrame:
+    """The runs of windows of each document that also start earlier: repeated runs without an answer, and those that answers name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in common.groups(batches, "number"):
+            tables = table.to_batches()
+            key, check, start, count = _places(tables)
+            answer = np.repeat([a for t in tables for a in t.column("answer").to_pylist()], [len(c) for t in tables for c in t.column("counts").to_pylist()])
+            # 0: a repeated run; 1: it is its segment's earliest place; 2: windows with an earlier one.
+            kind = np.where(answer, np.where(count > 0, 2, 1), 0)
+            order = np.lexsort((kind, start, check, key))
+            key, check, start, count, kind = key[order], check[order], start[order], count[order], kind[order]
+            new = np.append(True, (key[1:] != key[:-1]) | (check[1:] != check[:-1]) | (start[1:] != start[:-1]))[: len(key)]
+            place = np.cumsum(new) - 1
+            earliest = np.zeros(int(place[-1]) + 1 if len(place) else 0, bool)
+            earliest[place[kind == 1]] = True
+            once = new | np.append(True, kind[1:] != kind[:-1])[: len(key)]
+            go = once & ((kind == 2) | ((kind == 0) & ~earliest[place]))
+            yield from _per_key(key[go], check[go], start[go], count[go])
+
+    both = wanted.withColumn("answer", F.lit(False)).union(answers.withColumn("answer", F.lit(True)))
+    return _dealt(both, shards).mapInArrow(run, DOCUMENTS)
+
+
+SEGMENTS = "number int, keys binary, checks binary, ids binary, starts binary, marks binary, sizes binary, bytes binary"
+_KINDS = {"keys": np.int64, "checks": np.int32, "ids": np.int64, "starts": np.int32, "marks": np.uint64, "sizes": np.uint8}
 
 
 def segments(docs: DataFrame, wanted: DataFrame, shards: int) -> DataFrame:
-    """The bytes under the wanted runs, packed by shard. docs: key, doc_id, text; wanted: key, starts, counts."""
-    joined = docs.select("key", "doc_id", "text").join(wanted, "key")
+    """The distinct segments under the wanted runs with their earliest places, packed by shard. docs: key, check, doc_id, text; wanted: `per_document`."""
+    joined = docs.select("key", "check", "doc_id", "text").join(wanted, ["key", "check"])
+
+    def send(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        whole = {c: np.concatenate([h[c] for h in held]) for c in (*_KINDS, "bytes")}
+        size = whole["sizes"].astype(np.int64)
+        begin = np.cumsum(size) - size
+        one = _distinct(whole["bytes"], begin, size, _rank(whole["ids"], whole["keys"], whole["checks"]) << 32 | whole["starts"])
+        number = _shard_of(whole["marks"][one], shards)
+        order = np.argsort(number, kind="stable")
+        one, number = one[order], number[order]
+        cuts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+        sent = _packed(number, **{c: whole[c][one] for c in _KINDS})
+        for rows, pick in zip(sent, np.split(one, cuts[1:]), strict=True):
+            yield rows.append_column("bytes", pa.array([_gather(whole["bytes"], begin[pick], size[pick]).tobytes()], pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        sum_of = 0
         for batch in batches:
             for part in text.chunks(batch, "text", 4 << 20):
                 data, at = text.flat(part.column("text"))
                 start = [np.frombuffer(x, np.int32) for x in part.column("starts").to_pylist()]
-                count = _joined(part, "counts", np.uint8).astype(np.int64)
                 row = np.repeat(np.arange(part.num_rows), [len(s) for s in start])
-                begin = np.concatenate(start).astype(np.int64) + at[row]
-                size = count + LENGTH - 1
-                marks, content = _marks(data, begin), _contents(data, begin, size)
-                key = part.column("key").to_numpy()[row]
+                size = np.frombuffer(b"".join(part.column("counts").to_pylist()), np.uint8).astype(np.int64) + LENGTH - 1
+                start = np.concatenate(start)
+                begin = start + at[row]
                 # A null id comes after all others.
-                ids = part.column("doc_id").fill_null((1 << 63) - 1).to_numpy()[row]
-                for number, pick in _by_shard(_shard_of(marks, shards)):
-                    _, one, which = np.unique(content[pick], return_index=True, return_inverse=True)
-                    one = pick[one]
-                    packed = _binary(key[pick], ids[pick], marks[one], (begin - at[row])[pick].astype(np.int32), which.astype(np.int32), size[one].astype(np.uint8))
-                    held = np.concatenate([data[b : b + s] for b, s in zip(begin[one].tolist(), size[one].tolist(), strict=True)])
-                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *packed, *_binary(held)], [c.split()[0] for c in SEGMENTS.split(", ")])
+                ids = part.column("doc_id").fill_null((1 << 63) - 1).to_numpy()
+                key, check = part.column("key").to_numpy(), part.column("check").to_numpy()
+                one = _distinct(data, begin, size, _rank(ids, key, check)[row] << 32 | start)
+                row, begin, size = row[one], begin[one], size[one]
+                held.append({"keys": key[row], "checks": check[row], "ids": ids[row], "starts": start[one], "marks": _marks(data, begin), "sizes": size.astype(np.uint8), "bytes": _gather(data, begin, size)})
+                sum_of += int(size.sum())
+                if sum_of >= HELD:
+                    yield from send(held)
+                    held, sum_of = [], 0
+        if held:
+            yield from send(held)
 
     return joined.mapInArrow(run, SEGMENTS)
 
 
-def _totals(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    up, down = text.Powers.to(len(data))
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_RAW[data] * up[: len(data)], out=total[1:])
-    return total, down
-
-
-def _marks(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The anchor hash of the windows that start at `begin`."""
-    total, down = _totals(data)
-    out = np.empty(len(begin), np.uint64)
-    with np.errstate(over="ignore"):
-        for low in range(0, len(begin), 1 << 14):
-            place = begin[low : low + (1 << 14), None] + np.arange(LENGTH - GRAM + 1)
-            out[low : low + (1 << 14)] = text.mix((total[place + GRAM] - total[place]) * down[place]).min(axis=1)
-    return out
-
-
-def _contents(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each segment's bytes."""
-    total, down = _totals(data)
-    with np.errstate(over="ignore"):
-        return text.mix((total[begin + size] - total[begin]) * down[begin] + size.astype(np.uint64))
-
-
 class RunIndex:
-    """The run-length Burrows-Wheeler transform of distinct segments, each ended by a separator of its own."""
+    """The run-length Burrows-Wheeler transform of segments, with samples at the ends of its runs.
+
+    data: the segments' bytes, each ended by SEPARATOR; size: their lengths without it. Kept are each run's symbol (0 for the separators, all of which
+    differ and so are runs by themselves) and length, and, in the order of the text, the positions of the runs' first rows, those of the
+    rows above them, which are the last ones of the runs before, and the bytes that the two rows share.
+    """
 
     def __init__(self, data: np.ndarray, size: np.ndarray):
-        self.size = size
-        self.end = np.cumsum(size + 1) - 1
-        n = int(self.end[-1]) + 1
-        symbol = np.zeros(n, np.int64)
+        n = len(data)
         owner = np.repeat(np.arange(len(size)), size + 1)
-        body = np.ones(n, bool)
-        body[self.end] = False
-        symbol[body] = data.astype(np.int64) + 1
-        self._sort(symbol, owner, n)
-        before = np.where(self.order > 0, symbol[self.order - 1], 0)
-        #: Rows at which a new run of equal preceding symbols begins; a separator is a run by itself, since all separators differ.
-        self.heads = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (before[1:] == 0)))
-        self.symbols = before[self.heads]
-        lengths = np.diff(np.append(self.heads, n))
-        by_symbol = np.argsort(self.symbols, kind="stable")
-        #: The row that each run's head maps to: runs of one symbol keep their order, smaller symbols come first.
-        self.images = np.empty(len(self.heads), np.int64)
-        self.images[by_symbol] = np.cumsum(lengths[by_symbol]) - lengths[by_symbol]
-        #: Suffix samples at run ends.
-        self.samples = self.order[np.append(self.heads[1:], n) - 1]
-
-    def _sort(self, symbol: np.ndarray, owner: np.ndarray, n: int) -> None:
+        end = np.cumsum(size + 1) - 1
+        symbol = data.astype(np.int64) + 1
+        symbol[end] = 0
+        order = self._sort(symbol, owner, int(size.max()) + 1)
+        before = np.where(order > 0, symbol[order - 1], 0)
+        heads = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (before[1:] == 0)))
+        self.symbols, self.lengths = before[heads], np.diff(np.append(heads, n))
+        at, above = order[heads], np.append(-1, order[heads[1:] - 1])
+        by_text = np.argsort(at)
+        self.at, self.above = at[by_text], above[by_text]
+        other = np.maximum(self.above, 0)
+        most = np.where(self.above < 0, 0, np.minimum(end[owner[self.at]] - self.at, end[owner[other]] - other))
+        self.shared = shared(_eight(data), self.at, other, most)
+
+    @staticmethod
+    def _sort(symbol: np.ndarray, owner: np.ndarray, longest: int) -> np.ndarray:
         """Suffix order by prefix doubling. A separator is smaller than any byte; separators are told apart by their segment.
 
         Keys and positions are packed into one 64-bit number where they fit, since sorting numbers is much faster than sorting positions by them.
         """
-        ended = np.zeros(n, bool)
-        key = np.zeros(n, np.int64)
+        n = len(symbol)
+        ended, key = np.zeros(n, bool), np.zeros(n, np.int64)
         for k in range(DEPTH):
             shifted = np.zeros(n, np.int64)
             shifted[: n - k] = symbol[k:]
             ended |= shifted == 0
             key = key << 9 | np.where(ended, 0, shifted)
-        order, rank = self._order(key, np.where(ended, owner + 1, 0))
-        depth, longest = DEPTH, int(self.size.max()) + 1
-        while depth < longest:
-            if depth == SHARED:
-                shared = rank
+        order, rank = RunIndex._order(key, np.where(ended, owner + 1, 0))
+        depth = DEPTH
+        while depth < longest and rank[order[-1]] < n - 1:
             following = np.zeros(n, np.int64)
             following[: n - depth] = rank[depth:]
-            order, rank = self._order(rank, following)
+            order, rank = RunIndex._order(rank, following)
             depth *= 2
-        self.order = order
-        # Neighbouring rows share LENGTH bytes if they share SHARED from their start and SHARED up to the LENGTH-th.
-        other = np.minimum(order + LENGTH - SHARED, n - 1)
-        a, b = shared[order], shared[other]
-        self.group = np.cumsum(np.append(False, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        return order
 
     @staticmethod
     def _order(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -327,115 +446,112 @@ class RunIndex:
         rank[order] = np.cumsum(np.append(False, new))
         return order, rank
 
-    def back(self, rows: np.ndarray) -> np.ndarray:
-        """The rows of the suffixes one symbol longer."""
-        run = np.searchsorted(self.heads, rows, "right") - 1
-        return self.images[run] + rows - self.heads[run]
-
-    def stream(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Segments, a position in each, and its suffix's row, from the segments' ends to their starts."""
-        live = np.arange(len(self.size))
-        # The separators are the smallest symbols: segment k's own is row k.
-        rows = live.copy()
-        for left in range(1, int(self.size.max()) + 1):
-            going = self.size[live] >= left
-            live, rows = live[going], self.back(rows[going])
-            yield live, self.size[live] - left, rows
+    def statistics(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the suffix sorted above each of these starts, and how many bytes the two share (none or less: nothing)."""
+        run = np.searchsorted(self.at, places, "right") - 1
+        step = places - self.at[run]
+        return self.above[run] + step, self.shared[run] - step
 
 
-def _earliest(index: RunIndex, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of each segment (windows of a segment side by side): the earliest place of an equal window.
+def earlier(data: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """For each window of each segment, the windows of a segment side by side, whether an equal one has an earlier place.
 
-    first: the earliest place (document << 32 | start) of each segment. Also returns where each segment's windows begin.
+    place: of the segments' first windows, in the order of documents (document << 32 | start).
     """
-    windows = index.size - LENGTH + 1
-    at = np.cumsum(windows) - windows
-    group, place = np.empty(int(windows.sum()), np.int64), np.empty(int(windows.sum()), np.int64)
-    for segment, position, rows in index.stream():
-        full = position < windows[segment]
-        segment, position = segment[full], position[full]
-        slot = at[segment] + position
-        group[slot] = index.group[rows[full]]
-        place[slot] = first[segment] + position
-    least = np.full(int(index.group[-1]) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group, place)
-    return least[group], at
-
-
-def marks(packed: DataFrame, shards: int) -> DataFrame:
-    """key, starts and counts of runs of windows that also start earlier."""
+    windows = size - LENGTH + 1
+    out = np.zeros(int(windows.sum()), bool)
+    _earlier(out, data, begin, size, place, mark, np.cumsum(windows) - windows, 0)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = (("keys", np.int64), ("ids", np.int64), ("marks", np.uint64), ("starts", np.int32), ("which", np.int32), ("sizes", np.uint8), ("bytes", np.uint8))
-        parts, one = [], 0
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = [_joined(batch.slice(k, 1), c, t) for c, t in names]
-                row[4] = row[4] + one
-                one += len(row[2])
-                parts.append(row)
-        if not parts:
-            return
-        key, ids, mark, start, which, size, held = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        size = size.astype(np.int64)
-        begin = np.cumsum(size) - size
-        document = np.unique(np.stack([ids, key], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
-        # Segments in the order of their anchors, places in the order of their segments.
-        by_mark = np.argsort(mark, kind="stable")
-        turn = np.empty(len(mark), np.int64)
-        turn[by_mark] = np.arange(len(mark))
-        which = turn[which]
-        mark, size, begin = mark[by_mark], size[by_mark], begin[by_mark]
-        by_segment = np.argsort(which, kind="stable")
-        key, document, start, which = key[by_segment], document[by_segment], start[by_segment], which[by_segment]
-        low = 0
-        total = np.cumsum(size + 1)
-        while low < len(mark):
-            high = int(np.searchsorted(total, (total[low - 1] if low else 0) + BATCH, "right"))
-            high = int(np.searchsorted(mark, mark[max(high - 1, low)], "right"))
-            a, b = np.searchsorted(which, [low, high])
-            out = _mark(held, begin[low:high], size[low:high], key[a:b], document[a:b], start[a:b], which[a:b] - low)
-            yield from _by_key_bucket(*out, shards)
-            low = high
-
-    return _per_document(packed.repartition(shards, "shard").mapInArrow(run, BUCKETS), shards)
-
-
-def _mark(held, begin, size, key, document, start, which) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = np.concatenate([held[b : b + s] for b, s in zip(begin.tolist(), size.tolist(), strict=True)])
-    # Equal segments from different tasks become one.
-    at = np.cumsum(size) - size
-    _, one, same = np.unique(_contents(data, at, size), return_index=True, return_inverse=True)
-    which = same[which]
-    data = np.concatenate([data[b : b + s] for b, s in zip(at[one].tolist(), size[one].tolist(), strict=True)])
-    size = size[one]
-    place = document.astype(np.int64) << 32 | start
-    first = np.full(len(size), np.iinfo(np.int64).max)
-    np.minimum.at(first, which, place)
-    earliest, slot = _earliest(RunIndex(data, size), first)
-    windows = (size - LENGTH + 1)[which]
+
+def _earlier(out: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray, mark: np.ndarray, slot: np.ndarray, level: int) -> None:
+    by_mark = np.argsort(mark, kind="stable")
+    total, sorted_marks, low = np.cumsum(size[by_mark] + 1), mark[by_mark], 0
+    while low < len(mark):
+        done = int(total[low - 1]) if low else 0
+        # Whole anchors, as many as fit, but one at least.
+        high = int(np.searchsorted(total, done + BATCH, "right"))
+        if high < len(mark):
+            high = int(np.searchsorted(sorted_marks, sorted_marks[high], "left"))
+        if high <= low:
+            high = int(np.searchsorted(sorted_marks, sorted_marks[low], "right"))
+        part = by_mark[low:high]
+        if total[high - 1] - done > BATCH and level < LEVELS:
+            held = _gather(data, begin[part], size[part])
+            at = np.append(0, np.cumsum(size[part]))
+            row, start, count, other, _ = anchors(held, at, level + 1)
+            offset = start - at[row]
+            _earlier(out, held, start, count + LENGTH - 1, place[part][row] + offset, other, slot[part][row] + offset, level + 1)
+        else:
+            _classes(out, data, begin[part], size[part], place[part], slot[part])
+        low = high
+
+
+def _classes(out: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray, slot: np.ndarray) -> None:
+    """The windows of one index: chains of equal ones, each of which is told its chain's earliest place."""
+    ended = np.full(int((size + 1).sum()), SEPARATOR, np.uint8)
+    first = np.cumsum(size + 1) - (size + 1)
+    ended[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = _gather(data, begin, size)
+    index = RunIndex(ended, size)
+    windows = size - LENGTH + 1
     offset = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    early = earliest[np.repeat(slot[which], windows) + offset] < np.repeat(place, windows) + offset
-    owner = np.repeat(np.arange(len(which)), windows)[early]
-    offset = offset[early]
-    new = np.append(True, (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1))[: len(owner)]
-    at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(owner)))
-    owner, offset = owner[at], offset[at]
-    order = np.argsort(key[owner], kind="stable")
-    return key[owner][order], (start[owner] + offset).astype(np.int32)[order], count.astype(np.uint8)[order]
+    position = np.repeat(first, windows) + offset
+    place = np.repeat(place, windows) + offset
+    number = np.empty(len(ended), np.int64)
+    number[position] = np.arange(len(position))
+    above, alike = index.statistics(position)
+    up = np.arange(len(position))
+    linked = alike >= LENGTH
+    up[linked] = number[above[linked]]
+    while True:
+        further = up[up]
+        if (further == up).all():
+            break
+        up = further
+    least = place.copy()
+    np.minimum.at(least, up, place)
+    out[np.repeat(slot, windows) + offset] = least[up] < place
+
+
+def answers(packed: DataFrame, shards: int) -> DataFrame:
+    """For the earliest place of each segment: a run of no window, and the runs of windows that also start earlier; packed by bucket of key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in common.groups(batches, "number"):
+            tables = table.to_batches()
+            key, check, ids, start, mark, size = (_opened(tables, c, t) for c, t in _KINDS.items())
+            held = np.frombuffer(b"".join(c for t in tables for c in t.column("bytes").to_pylist()), np.uint8)
+            del table, tables
+            size = size.astype(np.int64)
+            begin = np.cumsum(size) - size
+            place = _rank(ids, key, check) << 32 | start
+            # Equal segments from different tasks become one.
+            one = _distinct(held, begin, size, place)
+            key, check, start, size = key[one], check[one], start[one], size[one]
+            gone = earlier(held, begin[one], size, place[one], mark[one])
+            windows = size - LENGTH + 1
+            owner = np.repeat(np.arange(len(one)), windows)[gone]
+            offset = (np.arange(len(gone)) - np.repeat(np.cumsum(windows) - windows, windows))[gone]
+            new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1))[: len(owner)])
+            count = np.diff(np.append(new, len(owner)))
+            owner, offset = owner[new], offset[new]
+            starts, counts = np.append(start, start[owner] + offset).astype(np.int32), np.append(np.zeros(len(one)), count).astype(np.uint8)
+            key, check = np.append(key, key[owner]), np.append(check, check[owner])
+            yield from _packed(key % shards, keys=key, checks=check, starts=starts, counts=counts)
+
+    return _dealt(packed, shards).mapInArrow(run, PLACES)
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, the removed spans (byte offsets, end exclusive) and the kept bytes of each document."""
     common.prepare(docs.sparkSession)
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64(F.lit(6), "doc_id", "text"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = keyed.withColumns({"key": F.xxhash64(F.lit(6), "doc_id", "text"), "check": F.hash("text", "doc_id")})
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(8, -(-size // SHARD))
-    wanted = common.stage(repeated(runs(keyed, shards), shards), "runs")
-    found = common.stage(marks(segments(keyed, wanted, shards), shards), "marks")
-    joined = keyed.join(found, "key", "left")
+    shards = max(16, -(-size // SHARD))
+    wanted = repeated(common.stage(runs(keyed, shards), "runs"), shards)
+    found = common.stage(answers(segments(keyed, per_document(wanted, shards), shards), shards), "earliest")
+    joined = keyed.join(removals(wanted, found, shards), ["key", "check"], "left")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -319,8 +319,10 @@ def test_repeats(spark, docs):
     assert got == expected
 
 
-def test_repeats_in_small_batches(spark, docs, monkeypatch):
-    monkeypatch.setattr(repeats, "BATCH", 3000)
+def test_repeats_in_small_parts(spark, docs, monkeypatch):
+    """Many shards, and tasks that hold little back."""
+    monkeypatch.setattr(repeats, "HELD", 3000)
+    monkeypatch.setattr(repeats, "SHARD", 4000)
     rows = sorted((r.doc_id, r.text.encode()) for r in docs.filter("doc_id < 80").collect())
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.report(docs.filter("doc_id < 80")).collect()}
     assert got == without_repeats(rows)
@@ -333,14 +335,71 @@ def test_repeated_rows(spark, awkward):
 
 
 def test_run_index():
-    """The index gives back the suffix order, its runs, and the text by LF-mapping."""
-    parts = [b"abracadabra" * 12, b"abracadabra" * 11 + b"!", b"mississippi" * 13]
-    index = repeats.RunIndex(np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts]))
-    assert len(index.heads) < sum(map(len, parts)) / 2
-    for segment, position, rows in index.stream():
-        for s, p, r in zip(segment.tolist(), position.tolist(), rows.tolist(), strict=True):
-            begin = index.end[s] - len(parts[s])
-            assert index.order[r] == begin + p
+    """The samples at run ends give the matching statistic of every suffix, and the runs give back the text."""
+    parts = [b"abracadabra" * 12, b"abracadabra" * 11 + b"!", b"mississippi" * 13, b"abracadabra" * 12]
+    data = np.frombuffer(b"".join(p + b"\xff" for p in parts), np.uint8)
+    size = np.array([len(p) for p in parts])
+    index = repeats.RunIndex(data, size)
+    assert len(index.at) < len(data) / 8 and index.lengths.sum() == len(data)
+    # A suffix ends with its segment; the number of the segment tells separators apart.
+    suffixes = sorted((bytes(p[k:]), s, sum(size[:s] + 1) + k) for s, p in enumerate(parts) for k in range(len(p) + 1))
+    above, alike = index.statistics(np.arange(len(data)))
+    for (x, _, i), (y, _, j) in zip(suffixes, suffixes[1:]):
+        assert above[j] == i
+        assert alike[j] == next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+    symbols = np.repeat(index.symbols, index.lengths)
+    step = np.empty(len(symbols), np.int64)
+    step[np.argsort(symbols, kind="stable")] = np.arange(len(symbols))
+    for k, part in enumerate(parts):
+        row, said = k, []
+        while symbols[row]:
+            said.append(int(symbols[row]) - 1)
+            row = step[row]
+        assert bytes(said[::-1]) == part
+
+
+def test_common_passage_is_sent_once_by_each_task(spark):
+    """A passage of very many places: its shard gets as many rows as there are tasks, not places, and gives the same result."""
+    passage = " ".join(f"common{i}" for i in range(40))
+    rows = [(i, f"{i * 7919} " * (i % 3) + passage + f" {i} end") for i in range(3000)]
+    df = frame(spark, rows).repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.report(df).collect()}
+    assert got == without_repeats([(i, t.encode()) for i, t in rows])
+    keyed = df.withColumns({"key": F.xxhash64("doc_id"), "check": F.hash("doc_id")})
+    wanted = repeats.repeated(repeats.runs(keyed, 4), 4)
+    places = sum(len(r.counts) for r in wanted.collect())
+    sent = sum(len(r.sizes) for r in repeats.segments(keyed, repeats.per_document(wanted, 4), 4).collect())
+    assert places > 3000 * 5 and sent < places / 3
+
+
+@pytest.mark.parametrize("batch", [300, 1500, 10**6])
+def test_crowded_anchor(monkeypatch, batch):
+    """An anchor with more distinct surroundings than an index may hold is parted by other anchors; the windows' result is the same."""
+    monkeypatch.setattr(repeats, "BATCH", batch)
+    rng = np.random.default_rng(9)
+    gram = rng.integers(97, 123, 60)
+    parts = [np.concatenate([rng.integers(97, 123, 50), gram, rng.integers(97, 123, 30 + k % 36)]) for k in range(60)]
+    parts += [np.concatenate([p[15 + k % 9 :], p[:3]]) for k, p in enumerate(parts[::3])] + [np.repeat(97, 176)]
+    size = np.array([len(p) for p in parts])
+    data, begin = np.concatenate(parts).astype(np.uint8), np.cumsum(size) - size
+    place = rng.permutation(len(parts)).astype(np.int64) << 32
+    least = {}
+    windows = [[data[b + k : b + k + 100].tobytes() for k in range(n - 99)] for b, n in zip(begin, size)]
+    for own, at in zip(windows, place.tolist()):
+        for k, w in enumerate(own):
+            least[w] = min(least.get(w, at + k), at + k)
+    expected = [least[w] < at + k for own, at in zip(windows, place.tolist()) for k, w in enumerate(own)]
+    assert 200 < sum(expected) < len(expected) - 200
+    for mark in (np.zeros(len(parts), np.uint64), np.repeat(np.arange(9, dtype=np.uint64), 9)):
+        got = repeats.earlier(data, begin, size, place, mark)
+        assert got.tolist() == expected if not mark.any() else not (got & ~np.array(expected)).any()
+
+
+def test_long_text_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE", 1000)
+    rows = [(1, " ".join(f"w{i % 900}" for i in range(4000))), (2, " ".join(f"w{i % 900}" for i in range(300, 700)))]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.report(frame(spark, rows)).collect()}
+    assert got == without_repeats([(i, t.encode()) for i, t in rows])
 
 
 # Sharding
