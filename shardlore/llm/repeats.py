@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,13 +205,13 @@ def _shard_of(marks: np.ndarray, shards: int) -> np.ndarray:
     return (marks >> np.uint64(32)).astype(np.int64) % shards
 
 
-RUNS = "number int, known boolean, keys binary, checks binary, marks binary, starts binary, counts binary"
+RUNS = "number int, keys binary, checks binary, marks binary, starts binary, counts binary"
 
 
 def runs(docs: DataFrame, shards: int) -> DataFrame:
     """Every anchor's run of windows. docs: key, check, text.
 
-    Rows that are known are runs whose hash the task has seen twice, packed by bucket of key; the others are runs of hashes that it has
+    Rows without marks are runs whose hash the task has seen twice, packed by bucket of key; the others are runs of hashes that it has
     seen once, packed by shard, and tokens (of no window) for the hashes that it has seen twice.
     """
 
@@ -223,10 +224,11 @@ def runs(docs: DataFrame, shards: int) -> DataFrame:
         twice |= again
         token = np.unique(mark[twice], return_index=True)[1]
         token = np.flatnonzero(twice)[token]
-        for known, pick, number in ((True, np.flatnonzero(twice), key % shards), (False, np.append(np.flatnonzero(~twice), token), _shard_of(mark, shards))):
-            windows = np.where(twice[pick] & (not known), 0, count[pick]).astype(np.uint8)
-            for rows in _packed(number[pick], keys=key[pick], checks=check[pick], marks=mark[pick].astype(np.uint32), starts=start[pick], counts=windows):
-                yield rows.add_column(1, "known", pa.array([known]))
+        known, once = np.flatnonzero(twice), np.append(np.flatnonzero(~twice), token)
+        for rows in _packed(key[known] % shards, keys=key[known], checks=check[known], starts=start[known], counts=count[known].astype(np.uint8)):
+            yield rows.add_column(3, "marks", pa.array([None], pa.binary()))
+        windows = np.where(twice[once], 0, count[once]).astype(np.uint8)
+        yield from _packed(_shard_of(mark[once], shards), keys=key[once], checks=check[once], marks=mark[once].astype(np.uint32), starts=start[once], counts=windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -265,17 +267,18 @@ def repeated(found: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in common.groups(batches, "number"):
-            tables = table.to_batches()
+            unknown = table.column("marks").is_valid()
+            yield from table.filter(pc.invert(unknown)).select([c.split()[0] for c in PLACES.split(", ")]).to_batches()
+            tables = table.filter(unknown).to_batches()
             key, check, start, count = _places(tables)
             mark = _opened(tables, "marks", np.uint32)
             order = np.argsort(mark)
             same = mark[order][1:] == mark[order][:-1]
-            twice = order[np.append(same, False) | np.append(False, same)]
+            twice = order[np.append(same, False) | np.append(False, same)] if len(order) else order
             twice = twice[count[twice] > 0]
             yield from _packed(key[twice] % shards, keys=key[twice], checks=check[twice], starts=start[twice], counts=count[twice])
 
-    asked = common.stage(_dealt(found.filter("not known").drop("known"), shards).mapInArrow(run, PLACES), "answers")
-    return asked.union(found.filter("known").select(*asked.columns))
+    return _dealt(found, shards).mapInArrow(run, PLACES)
 
 
 def _per_key(key: np.ndarray, check: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -549,8 +552,10 @@ def remove(docs: DataFrame) -> DataFrame:
     keyed = keyed.withColumns({"key": F.xxhash64(F.lit(6), "doc_id", "text"), "check": F.hash("text", "doc_id")})
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(16, -(-size // SHARD))
-    wanted = repeated(common.stage(runs(keyed, shards), "runs"), shards)
+    wanted = common.stage(repeated(runs(keyed, shards), shards), "repeated")
+    common.tidy(docs.sparkSession)
     found = common.stage(answers(segments(keyed, per_document(wanted, shards), shards), shards), "earliest")
+    common.tidy(docs.sparkSession)
     joined = keyed.join(removals(wanted, found, shards), ["key", "check"], "left")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
