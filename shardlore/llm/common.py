@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches are cut at this many bytes, so that very long texts don't fill a worker's memory.
 BATCH_BYTES = 16 << 20
+#: Spark deletes the shuffle files of a query when it ends, not when the driver's JVM happens to collect their handles.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,19 +43,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, survives lost executors, goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now: it does so when the driver's JVM has collected their handles."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def unstage(df: DataFrame) -> None:
     """Delete the files behind a staged table that nothing reads any more."""
     spark = df.sparkSession

@@ -553,9 +553,7 @@ def remove(docs: DataFrame) -> DataFrame:
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(16, -(-size // SHARD))
     wanted = common.stage(repeated(runs(keyed, shards), shards), "repeated")
-    common.tidy(docs.sparkSession)
     found = common.stage(answers(segments(keyed, per_document(wanted, shards), shards), shards), "earliest")
-    common.tidy(docs.sparkSession)
     joined = keyed.join(removals(wanted, found, shards), ["key", "check"], "left")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
