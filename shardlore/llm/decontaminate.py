@@ -296,8 +296,9 @@ def decide(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     found = contamination(docs.select(key.alias("doc_id"), "text"), items)
-    leaked = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("leaked_text")).distinct()
-    return docs.join(leaked, key == F.col("leaked_text"), "left_anti")
+    name = common.unused(docs, "leaked_text")
+    leaked = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(leaked, key == F.col(name), "left_anti")
 
 
 SQL = r"""

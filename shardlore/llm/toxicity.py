@@ -5,15 +5,17 @@ Terms are a document's distinct folded words and their first 4, 6 and 8 bytes (s
 so an insult next to a mention of a group can count for more than the two alone.
 
 Training rows: labelled documents outside the held-out fold, at most TRAIN_ROWS of them, taken in the
-order of a hash of doc_id (the documented bound of the sample). Their term buckets, at most that many rows,
-are gathered on the driver, the TERMS buckets with the highest chi-square against the label are kept,
-and the machine is fitted by AdaGrad on the logistic loss. The model has a fixed size (TERMS x (FACTORS + 1)
-floats and a table of 2^20 entries, under 5 MB) and is sent to the tasks. Scoring reads whole texts.
+order of a hash of doc_id (the documented bound of the sample). Their distinct buckets, 4 MB a row at most however long its text,
+are gathered on the driver. Buckets are admitted as terms if they tell something about the label by themselves, or only
+in a pair: the four cells of two common buckets (neither, one, the other, both) are held against what the two say
+apart. The machine is fitted to the terms by AdaGrad on the logistic loss. The model has a fixed size (TERMS + PAIRED rows of
+FACTORS + 1 floats and a table of 2^20 entries, under 5 MB) and is sent to the tasks. Scoring reads whole texts.
 
 Defined results: a null or empty text gets the score of no terms; without labelled rows of both
 classes every score is the labelled share of 1, or 0 without labels; several labels of one doc_id count as
 their maximum; null labels are no labels; a null doc_id is in no fold. Labels, lang, source and doc_id are
-never inputs of a score. Repeated rows get equal scores. Other columns stay or are ignored.
+never inputs of a score. Repeated rows get equal scores. Other columns stay or are ignored; `score` replaces a column of
+the name toxic_score, `decide` keeps it.
 """
 
 from __future__ import annotations
@@ -32,9 +34,16 @@ from shardlore.llm import common, text
 TRAIN_ROWS = 12_000
 BITS = 20
 STEMS = (4, 6, 8)
-TERMS = 8192
+#: Buckets that so many training rows have, with the highest chi-square against the label, above GAIN, are terms.
+SEEN, TERMS, GAIN = 3, 8192, 4
+#: So are those of the commonest buckets whose pairs tell more than their buckets do, with so many rows in each cell and a squared contrast of so many variances.
+PAIRED, CELL, PAIR_GAIN = 1024, 8, 30
 FACTORS = 8
-EPOCHS = 12
+EPOCHS, BATCH = 12, 128
+#: Steps at least, for small samples.
+STEPS = 600
+#: Deviation of the factors at first; learning rates of linear weights, factors and bias; decay of linear weights and factors.
+INIT, RATE, RATE_PAIRS, RATE_BIAS, DECAY, DECAY_PAIRS = 0.02, 0.1, 0.05, 0.3, 2e-3, 5e-3
 #: Weight of a toxic row in training; such rows are few.
 WEIGHT = 4
 #: Scores from here on are predicted toxic.
@@ -101,61 +110,93 @@ class Machine:
         row, term = buckets(data, at)
         slot = self.slots[term]
         known = slot >= 0
-        pair = np.unique(row[known] * (TERMS + 1) + slot[known])
-        return 1 / (1 + np.exp(-np.clip(self.raw(pair // (TERMS + 1), pair % (TERMS + 1), len(at) - 1), -30, 30)))
+        pair = np.unique(row[known] << BITS | slot[known])
+        return 1 / (1 + np.exp(-np.clip(self.raw(pair >> BITS, pair & ((1 << BITS) - 1), len(at) - 1), -30, 30)))
+
+
+def admitted(term: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The buckets that tell something about the label, by themselves (chi-square) or only beside another bucket (contrast of the four cells)."""
+    n, pos = len(y), float(y.sum())
+    seen = np.bincount(term, minlength=1 << BITS).astype(np.float64)
+    toxic = np.bincount(term, y[row], minlength=1 << BITS)
+    spread = seen * (n - seen) * pos * (n - pos)
+    gain = np.where((seen >= SEEN) & (spread > 0), n * (toxic * n - seen * pos) ** 2 / np.maximum(spread, 1), 0)
+    alone = np.argsort(-gain, kind="stable")[:TERMS]
+    alone = alone[gain[alone] > GAIN]
+    # Pairs: the commonest buckets that some rows lack.
+    varied = np.where((seen >= CELL) & (n - seen >= CELL), seen, 0)
+    common_ones = np.argsort(-varied, kind="stable")[:PAIRED]
+    common_ones = common_ones[varied[common_ones] > 0]
+    column = np.full(1 << BITS, -1, np.int32)
+    column[common_ones] = np.arange(len(common_ones))
+    here = column[term] >= 0
+    x = np.zeros((n, len(common_ones)), np.float32)
+    x[row[here], column[term[here]]] = 1
+    both, both_toxic = (m.astype(np.float64) for m in (x.T @ x, x.T @ (x * y[:, None].astype(np.float32))))
+    one, one_toxic = np.diag(both), np.diag(both_toxic)
+    cells = (
+        (both, both_toxic, 1),
+        (one[:, None] - both, one_toxic[:, None] - both_toxic, -1),
+        (one[None] - both, one_toxic[None] - both_toxic, -1),
+        (n - one[:, None] - one[None] + both, pos - one_toxic[:, None] - one_toxic[None] + both_toxic, 1),
+    )
+    contrast, variance, least = 0.0, 0.0, np.full(both.shape, np.inf)
+    for size, found, sign in cells:
+        share = (found + 0.5) / (size + 1)
+        contrast, variance, least = contrast + sign * share, variance + share * (1 - share) / (size + 1), np.minimum(least, size)
+    told = (least >= CELL) & (contrast**2 > PAIR_GAIN * variance)
+    return np.union1d(alone, common_ones[told.any(axis=1)])
 
 
 def fit(rows: list[tuple[int, bytes]]) -> Machine:
     """Fit on (label, packed buckets); the same rows in any order give the same machine."""
     rows = sorted((int(y > 0), bytes(t)) for y, t in rows)
-    y = np.array([a for a, _ in rows], np.float64)
+    y = np.array([a for a, _ in rows], np.float32)
     slots = np.full(1 << BITS, -1, np.int32)
     none = Machine(0.0, slots, np.zeros(1), np.zeros((1, FACTORS)))
     if not len(y) or y.min() == y.max():
         none.bias = 30.0 if len(y) and y[0] else -30.0
         return none
-    sizes = np.array([len(t) // 4 for _, t in rows])
+    n, pos = len(y), float(y.sum())
     term = np.frombuffer(b"".join(t for _, t in rows), np.int32)
-    row = np.repeat(np.arange(len(rows)), sizes)
-    n, pos = len(y), y.sum()
-    seen = np.bincount(term, minlength=1 << BITS).astype(np.float64)
-    toxic = np.bincount(term, y[row], minlength=1 << BITS)
-    spread = seen * (n - seen) * pos * (n - pos)
-    gain = np.where((seen >= 3) & (spread > 0), n * (toxic * n - seen * pos) ** 2 / np.maximum(spread, 1), 0)
-    best = np.argsort(-gain, kind="stable")[:TERMS]
-    best = best[gain[best] > 4]
-    slots[best] = np.arange(len(best))
+    row = np.repeat(np.arange(n), [len(t) // 4 for _, t in rows])
+    known = admitted(term, row, y)
+    slots[known] = np.arange(len(known))
     slot = slots[term]
     row, slot = row[slot >= 0], slot[slot >= 0]
-    w, v = np.zeros(max(1, len(best))), np.random.default_rng(7).normal(0, 0.02, (max(1, len(best)), FACTORS))
+    begin = np.searchsorted(row, np.arange(n + 1))
+    random = np.random.default_rng(7)
+    w = np.zeros(max(1, len(known)), np.float32)
+    v = random.normal(0, INIT, (len(w), FACTORS)).astype(np.float32)
     gw, gv, gb = np.full_like(w, 1e-3), np.full_like(v, 1e-3), 1e-3
     bias = float(np.log(pos / (n - pos)))
-    begin = np.searchsorted(row, np.arange(n + 1))
-    order = np.random.default_rng(8)
-    for _ in range(EPOCHS):
-        shuffled = order.permutation(n)
-        for k in range(0, n, 128):
-            part = shuffled[k : k + 128]
-            at = np.concatenate([np.arange(begin[i], begin[i + 1]) for i in part])
-            mine = np.repeat(np.arange(len(part)), begin[part + 1] - begin[part])
-            s = slot[at]
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // n))):
+        shuffled = random.permutation(n)
+        for k in range(0, n, BATCH):
+            part = shuffled[k : k + BATCH]
+            size = begin[part + 1] - begin[part]
+            mine = np.repeat(np.arange(len(part)), size)
+            s = slot[np.arange(len(mine)) + np.repeat(begin[part] - (np.cumsum(size) - size), size)]
             vs = v[s]
-            total = np.zeros((len(part), FACTORS))
-            np.add.at(total, mine, vs)
-            squares = np.bincount(mine, (vs * vs).sum(axis=1), minlength=len(part))
-            z = bias + np.bincount(mine, w[s], minlength=len(part)) + 0.5 * ((total * total).sum(axis=1) - squares)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * np.where(y[part] > 0, WEIGHT, 1)
-            gb += (g.sum()) ** 2
-            bias -= 0.05 * g.sum() / np.sqrt(gb)
-            touched, local = np.unique(s, return_inverse=True)
-            dw = np.bincount(local, g[mine], minlength=len(touched)) + 2e-3 * w[touched]
-            dv = np.zeros((len(touched), FACTORS))
-            np.add.at(dv, local, g[mine, None] * (total[mine] - vs))
-            dv += 5e-3 * v[touched]
+            some, first = np.flatnonzero(size), (np.cumsum(size) - size)[size > 0]
+            total, z = np.zeros((len(part), FACTORS), np.float32), np.full(len(part), bias)
+            if len(s):
+                total[some] = np.add.reduceat(vs, first)
+                z[some] += np.add.reduceat(w[s] - 0.5 * (vs * vs).sum(axis=1), first) + 0.5 * (total[some] ** 2).sum(axis=1)
+            g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) * np.where(y[part] > 0, WEIGHT, 1)).astype(np.float32)
+            gb += float(g.sum()) ** 2
+            bias -= RATE_BIAS * float(g.sum()) / gb**0.5
+            if not len(s):
+                continue
+            order = np.argsort(s, kind="stable")
+            turn = np.flatnonzero(np.append(True, s[order][1:] != s[order][:-1]))
+            touched = s[order][turn]
+            dw = np.add.reduceat(g[mine][order], turn) + DECAY * w[touched]
+            dv = np.add.reduceat((g[mine, None] * (total[mine] - vs))[order], turn) + DECAY_PAIRS * v[touched]
             gw[touched] += dw**2
             gv[touched] += dv**2
-            w[touched] -= 0.1 * dw / np.sqrt(gw[touched])
-            v[touched] -= 0.02 * dv / np.sqrt(gv[touched])
+            w[touched] -= RATE * dw / np.sqrt(gw[touched])
+            v[touched] -= RATE_PAIRS * dv / np.sqrt(gv[touched])
     return Machine(bias, slots, w, v)
 
 
@@ -164,16 +205,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     return fit([(r[0], r[1]) for r in training_rows(docs, labels).toLocalIterator()])
 
 
-def score(docs: DataFrame, model: Machine) -> DataFrame:
-    """All columns of docs and toxic_score (0 to 1)."""
+def score(docs: DataFrame, model: Machine, name: str = "toxic_score") -> DataFrame:
+    """All columns of docs and the score (0 to 1) under `name`."""
     common.prepare(docs.sparkSession)
+    docs = docs.drop(name)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kind = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())])
+    kind = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text.chunks(batch, "text"):
-                yield part.append_column("toxic_score", pa.array(sent.value.scores(*text.flat(part.column("text")))))
+                yield part.append_column(name, pa.array(sent.value.scores(*text.flat(part.column("text")))))
 
     return docs.mapInArrow(run, kind)
 
@@ -192,5 +234,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decide(docs: DataFrame, labelled: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the machine, trained on `labelled` documents, does not predict toxic."""
-    columns = docs.columns
-    return score(docs, train(labelled, labels)).filter(F.col("toxic_score") < THRESHOLD).select(*columns)
+    name = common.unused(docs, "toxic_score")
+    return score(docs, train(labelled, labels), name).filter(F.col(name) < THRESHOLD).select(*docs.columns)
