@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,15 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with columns of these names, or that begin with two underscores, under names of no use to anyone; and what gives them back their names."""
+    taken = {n.lower() for n in names}
+    moved = {c: f"_aside{k}" for k, c in enumerate(df.columns) if c.lower() in taken or c.startswith("__")}
+    moved = {c: unused(df, new) for c, new in moved.items()}
+    home = {new: c for c, new in moved.items()}
+    return df.withColumnsRenamed(moved), lambda out: out.withColumnsRenamed(home)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 

@@ -3,10 +3,11 @@
 Domains are the classes of the labels table (DOMAINS). A naive Bayes classifier over hashed words, learnt from
 labelled documents, gives each document a posterior for every domain. With t tokens and posterior p, a document
 kept at rate r adds r * t * p[d] to the expected tokens of domain d. Rates minimise the squared relative
-distance of the domains' expected totals from their targets, over r >= 0, by accelerated projected gradient:
-each step sums the domains' totals and moves every document's rate by its posterior. One aggregation brings the distinct posteriors, whose
-number the grid bounds, to the driver; the steps run there until the returned rates meet the targets, or until they stop getting closer,
-which gives a warning.
+distance of the targeted domains' expected totals from their targets, over r >= the least rate, by projected gradient steps: in the metric of
+tokens the gradient for a document's rate is its posterior times the domains' errors, so all steps so far have moved a rate by its posterior times
+one vector of a number for each domain, and the rate is the projection of that. A step is one aggregation over all documents, of their totals and
+of the Gram matrix of the posteriors whose rates aren't held at their bound, which scales the step; a few numbers come to the driver. The steps run until
+every targeted domain's total is within CLOSE of its target, or until the squared distance can't be lowered further, which gives a warning.
 
 The default token budget is the least at which no domain has to shrink on average, so scarce domains are
 repeated and the rest stays. copies is the rate rounded up with the probability of its fraction, decided
@@ -19,7 +20,7 @@ not learnt from. Statistics and rates cover all documents.
 Defined results: null and empty texts have no tokens, little evidence and so near the class shares as posterior, and rate 1; a null label or
 a doc_id with several labels counts as its largest values; without labels all posteriors are equal; a target of
 a domain that no document is in cannot be met and changes nothing; repeated rows have one rate each; an empty table stays
-empty. Other columns stay.
+empty. Other columns stay; `mix` replaces columns named n_tokens, posterior, rate or copies, `decide` keeps them.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ import warnings
 from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,10 +49,12 @@ SEEN = 20
 SYMBOLS = r"[!#$%&*+/<=>@\[\]^_{|}~\\]"
 #: Buckets of words, and ten for each measure of a text's shape.
 ALL_BUCKETS = BUCKETS + 30
-#: Posteriors are rounded to multiples of 1/GRID, which bounds the number of distinct ones.
-GRID = 200
-#: The steps end as stalled if so many in a row lower the squared distance by less than this share.
-PATIENCE, GAIN = 1000, 0.01
+#: A step is halved at most so often, and so many steps end the search.
+HALVINGS, STEPS = 12, 60
+#: Weight of the rates' own change against the errors, which gives one solution where targets can't be met or can be in many ways.
+DAMPING = 1e-5
+#: Columns that `mix` computes.
+OWN = ("n_tokens", "posterior", "rate", "copies")
 #: Relative error of every targeted domain's total at which the steps end.
 CLOSE = 3e-3
 
@@ -163,15 +165,11 @@ def posteriors(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None =
     out = out.withColumn("__sums", F.array(*sums))
     logits = [F.lit(0.0), *(_plus([F.lit(w) * F.col("__sums")[i] for i, w in enumerate(row)]) for row in model.weights)]
     out = out.withColumn("__logits", F.array(*logits)).withColumn("__top", F.array_max("__logits"))
-    # On the grid: whole GRIDths, of which the first domain takes what the others leave.
     odds = F.transform("__logits", lambda x: F.exp(x - F.col("__top")))
     out = out.withColumn("__odds", odds)
     total = _plus([F.col("__odds")[k] for k in range(len(DOMAINS))])
-    steps = [F.round(F.col("__odds")[k] / total * GRID).cast("int") for k in range(1, len(DOMAINS))]
-    out = out.withColumn("__steps", F.array(F.greatest(F.lit(0), F.lit(GRID) - _plus(steps)), *steps))
-    whole = _plus([F.col("__steps")[k] for k in range(len(DOMAINS))])
-    out = out.withColumn("posterior", F.transform("__steps", lambda x: x / whole))
-    return out.drop("__buckets", "__shape", "__sums", "__logits", "__top", "__odds", "__steps")
+    out = out.withColumn("posterior", F.transform("__odds", lambda x: x / total))
+    return out.drop("__buckets", "__shape", "__sums", "__logits", "__top", "__odds")
 
 
 def _plus(columns: list[Column]) -> Column:
@@ -186,80 +184,64 @@ def _evidence(buckets: str, ratio: Column) -> Column:
 
 
 def rates(known: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, least: float = 0.0) -> DataFrame:
-    """posterior, n_tokens (their sum) and rate for each distinct posterior of known (n_tokens, posterior).
-
-    A step moves a document's rate by its posterior alone, so documents of equal posterior keep equal rates and are one
-    row here: on the posteriors' grid that is a bounded number of rows, however large the corpus.
+    """known (n_tokens, posterior) with each document's rate.
 
     budget: expected tokens in all; None takes the least with which no domain shrinks. least: lower bound of the rates.
     """
     weights = [(targets or TARGETS).get(d, 0.0) for d in DOMAINS]
-    # At most 20,301 rows of a few numbers.
-    cells = sorted((tuple(r["posterior"]), r["n_tokens"]) for r in known.groupBy("posterior").agg(F.sum("n_tokens").alias("n_tokens")).collect())
-    p, tokens = np.array([c[0] for c in cells]).reshape(-1, len(DOMAINS)), np.array([c[1] for c in cells], np.int64)
-    rate = _fit(p, tokens.astype(float), weights, budget, least)
-    table = pa.table({"posterior": pa.array(p.tolist(), pa.list_(pa.float64())), "n_tokens": tokens, "rate": rate})
-    return common.stage(known.sparkSession.createDataFrame(table), "rates")
-
-
-def _fit(p: np.ndarray, tokens: np.ndarray, weights: list[float], budget: float | None, least: float) -> np.ndarray:
-    """The rate of each row of posteriors p with so many tokens."""
-    rate = np.full(len(tokens), max(1.0, least))
-    mass = tokens[:, None] * p
-    natural = rate @ mass
+    begin = max(1.0, least)
+    p = [F.col("posterior")[k] for k in range(len(DOMAINS))]
+    natural = [begin * (x or 0.0) for x in known.agg(*(F.sum(F.col("n_tokens") * x) for x in p)).first()]
     within = [k for k, w in enumerate(weights) if w > 0 and natural[k] > 0]
     if not within:
-        return rate
+        return known.withColumn("rate", F.lit(begin))
     share = sum(weights[k] for k in within)
     budget = budget or max(natural[k] * share / weights[k] for k in within)
-    goal = np.array([budget * weights[k] / share if k in within else natural[k] for k in range(len(DOMAINS))])
-    # A domain without a target is held where it is against the whole budget only, so that a small one doesn't shorten the steps.
-    scale = np.array([max(g, 1.0) if k in within else max(budget, g, 1.0) for k, g in enumerate(goal)])
-    # In the metric of token counts the curvature is the largest eigenvalue of the posteriors' Gram matrix; its largest row sum bounds it.
-    step = 1.0 / max(((mass.T @ p) / np.outer(scale, scale)).sum(axis=1).max(), 1e-300)
-
-    def errors(r: np.ndarray) -> np.ndarray:
-        return (r @ mass - goal) / scale
-
-    ahead, momentum, turn = rate, 1.0, 0
-    error = errors(rate)
-    distance = best = mark = error @ error
-    kept = rate
-    while np.abs(error[within]).max() >= CLOSE:
-        following = np.maximum(least, ahead - step * (p @ (errors(ahead) / scale)))
-        error, before = errors(following), distance
-        distance = error @ error
-        if distance > before:
-            # Too far: begin again without momentum.
-            momentum, ahead = 1.0, following
-        else:
-            growth = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
-            ahead, momentum = following + (momentum - 1) / growth * (following - rate), growth
-        rate, turn = following, turn + 1
-        if distance < best:
-            kept, best = rate, distance
-        if turn % PATIENCE == 0:
-            if best > (1 - GAIN) * mark:
+    goal = np.array([budget * weights[k] / share for k in within])
+
+    def unbounded(moved: np.ndarray) -> Column:
+        return _plus([F.lit(begin), *(F.lit(float(x)) * p[k] for x, k in zip(moved / goal, within, strict=True))])
+
+    def look(moved: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The convex function whose gradient the errors are, the relative errors of the totals, and the Gram matrix in units of the goals."""
+        raw, n, t = unbounded(moved), len(within), F.col("n_tokens")
+        free, now = raw >= least, F.greatest(F.lit(float(least)), raw)
+        sums = [F.sum(t * F.when(free, raw * raw / 2).otherwise(raw * least - least * least / 2))]
+        sums += [F.sum(t * now * p[k]) for k in within]
+        sums += [F.sum(F.when(free, t * p[j] * p[k]).otherwise(0.0)) for j in within for k in within]
+        got = np.array(known.agg(*sums).first(), float)
+        value = got[0] - moved.sum() + damping / 2 * (moved @ moved)
+        return value, got[1 : n + 1] / goal - 1, got[n + 1 :].reshape(n, n) / np.outer(goal, goal)
+
+    damping = DAMPING / goal.max()
+    moved = np.zeros(len(within))
+    value, error, gram = look(moved)
+    for _ in range(STEPS):
+        slope = error + damping * moved
+        if min(np.abs(error).max(), 10 * np.abs(slope).max()) < CLOSE:
+            break
+        step = -np.linalg.solve(gram + damping * np.eye(len(within)), slope)
+        for _ in range(HALVINGS):
+            there = look(moved + step)
+            if there[0] <= value + 1e-4 * (step @ slope):
                 break
-            mark = best
-    else:
-        return rate
-    missed = errors(kept)
-    if np.abs(missed[within]).max() >= CLOSE:
-        warnings.warn(f"mixing: targets missed by {', '.join(f'{DOMAINS[k]} {missed[k]:+.2%}' for k in within)}", stacklevel=3)
-    return kept
+            step = step / 2
+        else:
+            break
+        moved, (value, error, gram) = moved + step, there
+    if np.abs(error).max() >= CLOSE:
+        warnings.warn(f"mixing: targets missed by {', '.join(f'{DOMAINS[k]} {e:+.2%}' for k, e in zip(within, error, strict=True))}", stacklevel=2)
+    return known.withColumn("rate", F.greatest(F.lit(float(least)), unbounded(moved)))
 
 
 def mix(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None, drop: tuple[str, ...] = (), **options) -> DataFrame:
     """docs with n_tokens, posterior, rate and copies, without the columns in drop; options as for `rates`."""
     chance = F.pmod(F.xxhash64(F.lit(10), "doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    kept = [c for c in docs.columns if c not in ("n_tokens", "posterior", "rate", "copies")]
+    docs, back = common.aside(docs.drop(*OWN), OWN)
     # Written once, so that the texts are split once.
-    known = common.stage(posteriors(docs.select(*kept).withColumn("__chance", chance), labels, labelled).drop(*drop), "posteriors")
-    found = rates(known, **options).select(F.col("posterior").alias("__cell"), F.col("rate").alias("__rate"))
-    out = known.join(found, F.col("posterior") == F.col("__cell"), "left")
-    out = out.withColumn("rate", F.when(F.col("n_tokens") > 0, F.col("__rate")).otherwise(1.0)).drop("__cell", "__rate")
-    return out.withColumn("copies", F.floor(F.col("rate") + F.col("__chance")).cast("int")).drop("__chance")
+    known = common.stage(posteriors(docs.withColumn("__chance", chance), labels, labelled).drop(*drop), "posteriors")
+    out = rates(known, **options).withColumn("rate", F.when(F.col("n_tokens") > 0, F.col("rate")).otherwise(1.0))
+    return back(out.withColumn("copies", F.floor(F.col("rate") + F.col("__chance")).cast("int")).drop("__chance"))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -276,5 +258,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decide(docs: DataFrame, labels: DataFrame, labelled: DataFrame) -> DataFrame:
     """The rows of docs, as often as their copies say. No rate is below 1 here, so every document stays."""
-    done = mix(docs, labels, labelled, targets={"good": 0.85, "poor": 0.15}, least=1.0)
-    return done.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    aside, back = common.aside(docs, OWN)
+    done = mix(aside, labels, labelled, targets={"good": 0.85, "poor": 0.15}, least=1.0)
+    copy = common.unused(done, "copy")
+    return back(done.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*aside.columns))

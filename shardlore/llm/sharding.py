@@ -11,7 +11,7 @@ Rows that no hash bit can part (equal id and text, or one text above the limit)
 largest depth; its equal rows are numbered and cut into parts that fit, where a single row above the limit has a part of its own.
 
 Defined results: a null text has 0 bytes and a null id is an id of its own; an empty table has no shard;
-repeated rows are placed one by one. Other columns stay as they are.
+repeated rows are placed one by one. Other columns stay as they are; columns named shard, shard_depth or n_bytes are replaced.
 """
 
 from __future__ import annotations
@@ -65,6 +65,7 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
 
 def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """docs with shard (bucket bits as text, and a part number where one bucket had to be cut), shard_depth and n_bytes."""
+    docs, back = common.aside(docs.drop("shard", "shard_depth", "n_bytes"), ())
     keyed = docs.withColumns({"__key": key(), "n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")})
     sizes = common.stage(keyed.select(F.col("__key").alias("key"), F.col("n_bytes").alias("bytes")), "sizes")
     cells = directory(sizes, limit)
@@ -79,7 +80,7 @@ def assign(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     found = found.withColumn("shard_depth", depth).withColumn("shard", bucket)
     if any(deepest == DEPTH for _, deepest in levels):
         found = found.filter(F.col("shard_depth") < DEPTH).unionByName(_parts(found.filter(F.col("shard_depth") == DEPTH), limit))
-    return found.drop(*[c for c in found.columns if c.startswith("__")])
+    return back(found.drop(*[c for c in found.columns if c.startswith("__")]))
 
 
 def _parts(rows: DataFrame, limit: int) -> DataFrame:
