@@ -18,7 +18,8 @@ Candidates are confirmed on full shingle sets: connected groups of candidates ar
 and all pairs of a group that aren't connected yet are compared, so no cap and no sampling is involved.
 Groups of more than GROUP shingles are compared block against block.
 
-Each distinct set has a key of its own, a 64-bit hash of the doc_id and text of its first row; doc_id comes in with the results.
+Each distinct set has a key of its own, a 64-bit hash of the doc_id and text of its first row; doc_id comes in with the results. Shingles and
+sets are compared by 64-bit hashes and pairs of them (`text` states the odds).
 
 Defined results: in the report, rows of one doc_id are one document with the union of their links; `decide` keeps one row of each
 class of texts and doesn't take texts of one doc_id for one another. A text without words, an
@@ -45,6 +46,8 @@ TREES = 10
 BRANCHES = (3, 3, 3)
 DEPTH = len(BRANCHES) + 1
 NODE = 256
+#: Documents of a crowded node that are compared with its first one together.
+SPREAD = 1024
 SKETCH = 0.5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -122,15 +125,18 @@ def candidates(reps: DataFrame) -> DataFrame:
         rows = common.stage(level.join(kept, "node"), "paths")
         few = rows.filter(F.col("n") <= NODE).select("node", "rep")
         small = few if small is None else small.union(few)
-        large = rows.filter(F.col("n") > NODE).select("node", "rep", "first")
+        # A node's documents are spread over parts of SPREAD, each of which gets its first document's sketch.
+        parts = F.ceil(F.col("n") / SPREAD).cast("int")
+        large = rows.filter(F.col("n") > NODE).select("node", "rep", "first", "n", F.pmod(F.xxhash64("rep", "node"), parts).cast("int").alias("part"))
         if large.isEmpty():
             break
         if depth == DEPTH:
             through.append(large.select(F.col("first").alias("a"), F.col("rep").alias("b")))
             break
         # Documents like their node's first one are connected through it; a node of only such documents ends here.
-        sketch = reps.select(F.col("rep").alias("first"), F.col("mins").alias("first_mins")).join(large.select("first").distinct(), "first", "left_semi")
-        tested = large.join(reps.select("rep", "mins"), "rep").join(sketch, "first")
+        spread = large.select("node", "first", "n").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        sketch = reps.select(F.col("rep").alias("first"), F.col("mins").alias("first_mins"))
+        tested = large.select("node", "rep", "part").join(reps.select("rep", "mins"), "rep").join(spread.drop("n").join(sketch, "first"), ["node", "part"])
         tested = common.stage(tested.mapInArrow(_near_head, "node bigint, rep bigint, first bigint, mins array<int>, near boolean"), "tested")
         through.append(tested.filter("near and rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")))
         known = components(reduce(DataFrame.union, through), "heads").select(F.col("id").alias("rep"), F.col("component").alias("known"))
