@@ -1,10 +1,12 @@
 """License scans through a positional index of rare template words.
 
-The index maps each licence template's highest-IDF words (inverse document frequency over the whole
-corpus) to their places in the templates. Every such word in a file votes for an alignment of template and
+The index maps licence words to their places in the templates. Of each file's licence words those of highest IDF (inverse document frequency over the
+whole corpus) are looked up, as many as it takes that no template could have LEAST of its weight in place without one of them. Every
+place of such a word votes for an alignment of template and
 file, the relative position of the two; the template's other postings are intersected at that
 alignment, weighted by IDF, and a template is reported only if enough of its weight stands in place and all its
-mandatory key phrases occur in the file.
+mandatory key phrases occur in the file. The score is 1 for a base phrase, the largest share of weight in place for a reported template, and half of it for
+one that isn't reported.
 
 Base phrases are reported wherever their words stand one after another. Defined results: a null text is
 empty and has no words; a null doc_id keeps its row; repeated rows are reported once each; without
@@ -30,8 +32,8 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 
 #: Share of a template's IDF weight that has to stand in place.
 LEAST = 0.6
-#: This share of a template's words, those of highest IDF, is looked up; two at least.
-RARE = 1 / 3
+#: Files whose licence words are weighed together.
+ROWS = 512
 
 
 class Template(NamedTuple):
@@ -52,7 +54,7 @@ TEMPLATES = (
     Template("cc-by-sa", "licensed under cc by sa 4.0", ("cc by sa",)),
     Template("cc-by-nd", "licensed under cc by nd 4.0", ("cc by nd",)),
     Template("cc-by-4.0", "licensed under cc by 4.0", ("cc by 4",)),
-    Template("cc-by-4.0", "creative commons attribution 4.0 international license", ("creative commons attribution",)),
+    Template("cc-by-4.0", "creative commons attribution 4.0 international license", ("creative commons attribution 4",)),
     Template("cc0", "cc0 1.0 universal public domain dedication", ("public domain dedication",)),
     Template(
         "mit",
@@ -91,6 +93,40 @@ TEMPLATES = (
         " can obtain one at http mozilla org mpl 2.0",
         ("mozilla public license",),
     ),
+    Template(
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by"
+        " the free software foundation",
+        ("gnu lesser general public license", "free software foundation"),
+    ),
+    Template(
+        "agpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published"
+        " by the free software foundation",
+        ("gnu affero general public license", "free software foundation"),
+    ),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising"
+        " from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to"
+        " alter it and redistribute it freely",
+        ("without any express or implied warranty", "alter it and redistribute it freely"),
+    ),
+    Template(
+        "bsl-1.0",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"
+        " covered by this license",
+        ("any person or organization obtaining a copy",),
+    ),
+    Template(
+        "epl-2.0",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0",
+        ("eclipse public license",),
+    ),
+    Template("eupl", "licensed under the european union public licence", ("european union public licence",)),
+    Template("artistic-2.0", "licensed under the artistic license 2.0", ("artistic license",)),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4.0 international license", ("attribution sharealike",)),
+    Template("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4.0 international license", ("attribution noncommercial",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     Template("reserved", "all rights reserved", ("all rights reserved",)),
 )
@@ -133,17 +169,29 @@ class Book:
         return out
 
     def weigh(self, documents: int, frequency: dict[int, int]) -> None:
-        """Set IDF weights and the postings of the rare template words."""
+        """Set IDF weights, the postings of the template words, and each word's weight in each template, by ascending IDF."""
         self.idf = np.array([math.log((documents + 1) / (frequency.get(i, 0) + 1)) + 0.1 for i in range(len(self.words))])
-        rare: dict[int, list[tuple[int, int]]] = {}
-        for t, ids in enumerate(self.texts):
-            distinct = sorted(set(ids.tolist()), key=lambda i: (-self.idf[i], i))
-            for i in distinct[: max(2, math.ceil(len(distinct) * RARE))]:
-                rare.setdefault(i, []).extend((t, q) for q in np.flatnonzero(ids == i).tolist())
-        pairs = [(i, t, q) for i in sorted(rare) for t, q in rare[i]]
+        pairs = sorted((int(i), t, q) for t, ids in enumerate(self.texts) for q, i in enumerate(ids))
         self.posted = np.array([p[1:] for p in pairs], np.int64)
         ends = np.searchsorted([p[0] for p in pairs], np.arange(len(self.words) + 1))
         self.low, self.many = ends[:-1], np.diff(ends)
+        self.rarity = np.argsort(np.argsort(self.idf, kind="stable"))
+        self.weight = np.zeros((len(self.words), len(self.texts)))
+        for t, ids in enumerate(self.texts):
+            np.add.at(self.weight, (self.rarity[ids], t), self.idf[ids])
+
+    def rarest(self, ids: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """Whether each licence word (by number) is among its file's highest-IDF ones that are looked up."""
+        least = np.full(rows, len(self.words))
+        enough = LEAST * self.weight.sum(axis=0) - 1e-9
+        for low in range(0, rows, ROWS):
+            here = slice(*np.searchsorted(row, [low, low + ROWS]))
+            there = np.zeros((min(ROWS, rows - low), len(self.words)))
+            there[row[here] - low, self.rarity[ids[here]]] = 1
+            # The weight of the file's words up to each one; from the first on that makes enough for any template, words are looked up.
+            reached = (np.cumsum(there[:, :, None] * self.weight, axis=1) >= enough).any(axis=2)
+            least[low : low + ROWS] = np.where(reached[:, -1], reached.argmax(axis=1), len(self.words))
+        return self.rarity[ids] >= least[row]
 
     def phrase(self, ids: np.ndarray, row: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """Word numbers at which a phrase begins."""
@@ -195,7 +243,7 @@ class Book:
     def align(self, ids: np.ndarray, row: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, float, bool]]:
         """Row, template, first word, share of weight in place, and whether it is certain: the best alignment of each template in each row."""
         known = np.flatnonzero(ids >= 0)
-        known = known[self.many[ids[known]] > 0]
+        known = known[self.rarest(ids[known], row[known], len(first) - 1)]
         if not len(known):
             return []
         many = self.many[ids[known]]

@@ -103,6 +103,38 @@ def test_licenses(spark, docs):
     assert licenses.scan(empty(docs)).count() == 0
 
 
+def test_license_labels(spark, docs):
+    """Labels and scores against sliding every template over every text."""
+    rows = [(r.doc_id, r.text) for r in docs.filter("doc_id < 120").collect()]
+    made = " ".join(f"word{i}" for i in range(30))
+    for k, t in enumerate(licenses.TEMPLATES):
+        words = t.words.split()
+        rows += [(1000 + k, f"{made} {t.words.upper()} {made}"), (2000 + k, " ".join([*words[:2], "other", *words[3:]])), (3000 + k, " ".join(words[: len(words) // 2]) + " " + made)]
+    rows += [(4000, "licensed under the mit license or licensed under the apache license version 2.0"), (4001, "released under the mit license, licensed under the mit license")]
+    book = licenses.Book()
+    df = frame(spark, rows)
+    book.weigh(*licenses.frequencies(df, book))
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    reported = 0
+    for i, text in rows:
+        w = WORDS.findall(text.translate(LOWER))
+        labels = set(filter(None, got[i].base_labels.split(",")))
+        best = 1.0 if labels else 0.0
+        for t in book.templates:
+            words = licenses.split(t.words)
+            total = sum(book.idf[book.number[x]] for x in words)
+            share = max((sum(book.idf[book.number[x]] for q, x in enumerate(words) if 0 <= b + q < len(w) and w[b + q] == x) / total for b in range(1 - len(words), len(w))), default=0)
+            keys = all(any(w[b : b + len(k)] == k for b in range(len(w))) for k in map(licenses.split, t.keys))
+            assert abs(share - licenses.LEAST) > 1e-6
+            if share >= licenses.LEAST and keys:
+                labels.add(t.label)
+                best = max(best, share)
+        assert got[i].labels == ",".join(sorted(labels)), i
+        assert best - 1e-9 <= got[i].score <= max(best, 0.5) + 1e-9
+        reported += len(labels)
+    assert reported > 60
+
+
 BASE = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m.group(2)) >= 8),
     ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m.group()) >= 16),
