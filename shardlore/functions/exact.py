@@ -10,9 +10,11 @@ import math
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # The generator's constants and word size.
 MULTIPLIER, INCREMENT, WORD = 6364136223846793005, 1, 1 << 64
@@ -42,6 +44,55 @@ def sample(seed: int, total: int, size: int) -> list[int]:
     return sorted(chosen)
 
 
+def sip_hash(messages: list[bytes], each: int = 1, last: int = 3, key: tuple[int, int] = (0, 0)) -> np.ndarray:
+    """SipHash of each message, `each` rounds for a word and `last` at the end; messages of as many words are hashed side by side."""
+    out = np.zeros(len(messages), np.uint64)
+    words = np.array([len(m) // 8 + 1 for m in messages])
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+    def rounds(v: list[np.ndarray], n: int) -> None:
+        for _ in range(n):
+            for a, b, c, d, r, s in ((0, 1, 2, 3, 13, 16), (2, 1, 0, 3, 17, 21)):
+                # Both halves of a round mix the first pair, then the second one, which the other half takes crosswise.
+                v[a] = v[a] + v[b]
+                v[b] = turned(v[b], r) ^ v[a]
+                v[a] = turned(v[a], 32)
+                other = c if a == 0 else 0
+                v[other] = v[other] + v[d]
+                v[d] = turned(v[d], s) ^ v[other]
+
+    with np.errstate(over="ignore"):
+        for n in np.unique(words).tolist():
+            mine = np.flatnonzero(words == n)
+            cells = np.frombuffer(b"".join(messages[k].ljust(8 * n - 1, b"\0") + bytes([len(messages[k]) & 255]) for k in mine), "<u8").reshape(-1, n)
+            # What the state begins with.
+            begin = (0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573)
+            v = [np.full(len(mine), b ^ key[k % 2], np.uint64) for k, b in enumerate(begin)]
+            for k in range(n):
+                v[3] = v[3] ^ cells[:, k]
+                rounds(v, each)
+                v[0] = v[0] ^ cells[:, k]
+            v[2] = v[2] ^ np.uint64(255)
+            rounds(v, last)
+            out[mine] = v[0] ^ v[1] ^ v[2] ^ v[3]
+    return out
+
+
+def node_uid(public_key: Column) -> Column:
+    """The number of a node: the low 31 bits of the SipHash of its key's text and a byte of ones."""
+
+    @F.pandas_udf("bigint")
+    def number(keys: pd.Series) -> pd.Series:
+        known = keys.notna()
+        out = pd.Series([None] * len(keys), dtype="Int64", index=keys.index)
+        out[known] = (sip_hash([k.encode() + b"\xff" for k in keys[known]]) & np.uint64(0x7FFFFFFF)).astype(np.int64)
+        return out
+
+    return number(public_key)
+
+
 class Wheel:
     """Weighted draws without replacement: the generator's next value, modulo the weights left, falls into one of them."""
 

@@ -131,10 +131,45 @@ def account_bytes(value: Column) -> Column:
     return F.coalesce(bytes32(value), F.unhex(F.sha2(value, 256)))
 
 
-def signed_tuple(tag: str, *parts: Column) -> Column:
-    """The bytes that a signature covers: a domain tag and the parts, each preceded by its length."""
-    cells = [F.concat(F.lpad(F.octet_length(p.cast("string")).cast("string"), 8, "0"), p.cast("string")) for p in parts]
-    return F.concat(F.lit(tag), *cells).cast("binary")
+def little_endian(value: Column, size: int) -> Column:
+    """A number as `size` bytes, the lowest first."""
+    digits = F.lpad(F.hex(value.cast("bigint")), 2 * size, "0")
+    return F.unhex(F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size)))))
+
+
+def prefixed(value: Column) -> Column:
+    """Bytes after their length in compact form: one, two or four bytes whose lowest two bits tell which."""
+    n = F.octet_length(value).cast("bigint")
+    length = F.when(n < 64, little_endian(n * 4, 1)).when(n < 1 << 14, little_endian(n * 4 + 1, 2)).otherwise(little_endian(n * 4 + 2, 4))
+    return F.concat(length, value)
+
+
+def signed_bytes(tag: str, shard: Column, uid: Column, result: Column, challenge: Column, block: Column, second: Column, proof: Column, warden: Column) -> Column:
+    """The bytes that an attestation's signature covers.
+
+    A domain tag, the shard's hash, the proof's digest (bytes, may be empty) and the warden's id are prefixed by their lengths; uid has four bytes, the
+    result's number one, block and second eight each, and the challenge's 32 bytes stand as they are.
+    """
+    return F.concat(
+        prefixed(F.lit(tag.encode())), prefixed(F.encode(shard, "UTF-8")), little_endian(uid, 4), little_endian(result, 1), challenge,
+        little_endian(block, 8), little_endian(second, 8), prefixed(proof), prefixed(F.encode(warden, "UTF-8")),
+    )
+
+
+def field_elements(data: Column) -> Column:
+    """Binary data as numbers of three bytes each, the lowest byte first, and its length after them."""
+    n = F.octet_length(data)
+
+    def byte(place: Column) -> Column:
+        return F.coalesce(F.conv(F.hex(F.substr(data, place, F.lit(1))), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
+
+    cells = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / 3).cast("int"), F.lit(1)) - 1), lambda k: byte(k * 3 + 1) + byte(k * 3 + 2) * 256 + byte(k * 3 + 3) * 65_536)
+    return F.concat(F.when(n > 0, cells).otherwise(F.array().cast("array<bigint>")), F.array(n.cast("bigint")))
+
+
+def element_bytes(elements: Column, count: int = 8) -> Column:
+    """So many numbers of 32 bits as bytes, the lowest byte of each first."""
+    return F.concat(*(little_endian(F.get(elements, F.lit(k)), 4) for k in range(count)))
 
 
 def seed(tag: str, *parts: Column) -> Column:

@@ -33,11 +33,18 @@ def lists_by_holder(shards: DataFrame) -> DataFrame:
     return shards.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("file_id", "idx", "part"))).alias("held"))
 
 
-def group_index(files: DataFrame, groups: int) -> DataFrame:
-    """The distinct file hashes of each placement group, in order."""
-    return files.groupBy(scoring.placement_group(F.col("file_hash"), groups).alias("pg")).agg(
-        F.sort_array(F.collect_set("file_hash")).alias("files"), F.min("file_id").alias("first_file")
-    )
+def group_index(files: DataFrame, groups: int, page_size: int = 1000) -> DataFrame:
+    """The distinct file hashes of each placement group, in order and in pages, so that no value grows with the group.
+
+    Hashes are numbered within the slices of a group that their first three digits make; the slices' sizes, at most 4,096 of a group, are summed before them.
+    """
+    rows = files.select(scoring.placement_group(F.col("file_hash"), groups).alias("pg"), "file_hash").distinct().withColumn("slice", F.substring("file_hash", 1, 3))
+    sizes = rows.groupBy("pg", "slice").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("pg").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("pg", "slice").orderBy("file_hash")) - 1
+    placed = rows.withColumn("own", own).join(sizes.select("pg", "slice", before.alias("before")), ["pg", "slice"])
+    page = F.floor((F.col("before") + F.col("own")) / page_size)
+    return placed.groupBy("pg", page.alias("page")).agg(F.sort_array(F.collect_list("file_hash")).alias("files"))
 
 
 def group_pages(files: DataFrame, groups: int, group: int, page_size: int, pages: int) -> DataFrame:
@@ -66,7 +73,19 @@ def failures(reports: DataFrame, integrity: str) -> DataFrame:
     return reports.groupBy("uid").agg(F.count("*").alias("failures"), bad.alias("integrity"), bad.alias("strikes"))
 
 
-def from_cursor(rows: DataFrame, order: list[str], cursor: int, size: int) -> DataFrame:
-    """`size` rows from a cursor in the ordered list, around its end. One audited list is small; it is numbered as a whole."""
-    numbered = rows.withColumns({"rn": F.row_number().over(Window.orderBy(*order)) - 1, "n": F.count("*").over(Window.partitionBy())})
-    return numbered.filter(F.pmod(F.col("rn") - cursor, F.col("n")) < size).drop("rn", "n")
+def from_cursor(rows: DataFrame, order: list[str], cursor: int, size: int, width: int = 4096) -> DataFrame:
+    """`size` rows from a cursor in the ordered list, around its end.
+
+    The first column of the order is a number: slices of `width` of it are counted, the counts are summed (one row for each slice), and only
+    rows of the slices that the wanted places lie in are sorted.
+    """
+    sliced = rows.withColumn("__slice", F.floor(F.col(order[0]) / width))
+    counts = sliced.groupBy("__slice").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumns({"__before": before, "__all": F.sum("__n").over(Window.partitionBy())})
+    # Places of a slice, from the cursor: it is wanted if it begins among the wanted ones, or holds the cursor.
+    ahead = F.pmod(F.col("__before") - cursor, F.col("__all"))
+    wanted = placed.filter((ahead < size) | (ahead + F.col("__n") > F.col("__all")))
+    number = F.col("__before") + F.row_number().over(Window.partitionBy("__slice").orderBy(*order)) - 1
+    found = sliced.join(wanted.drop("__n"), "__slice").withColumn("__rn", number)
+    return found.filter(F.pmod(F.col("__rn") - cursor, F.col("__all")) < size).drop("__slice", "__before", "__all", "__rn")

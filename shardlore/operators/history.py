@@ -66,6 +66,21 @@ def allowed(pubkey: Column, allow: list[str]) -> Column:
     return pubkey.isin(*allow) if allow else F.lit(True)
 
 
+def resting(nodes: DataFrame, until: DataFrame, now: DataFrame) -> DataFrame:
+    """Whether each node still rests: now is before the moment until which it does. until: uid, until; now: one row."""
+    joined = nodes.join(until, "uid", "left").join(F.broadcast(now))  # now is one row
+    return joined.select("uid", F.coalesce(F.col("now") < F.col("until"), F.lit(False)).alias("resting"))
+
+
+def sync_index(files: DataFrame) -> DataFrame:
+    """One row that tells a set of files from another: their number, bytes, an order-free digest of hashes and sizes, and the newest epoch.
+
+    files: file_hash, size, epoch. The list itself stays a table; see sources.sinks.append_epoch.
+    """
+    each = F.conv(F.substring(F.sha2(F.concat_ws(":", "file_hash", F.col("size").cast("string")), 256), 1, 15), 16, 10).cast("bigint")
+    return files.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.bit_xor(each).alias("digest"), F.max("epoch").alias("epoch"))
+
+
 def needs_rebuild(listed: DataFrame, known: DataFrame) -> bool:
     """Whether an index holds less than nine tenths of the files listed."""
     return known.count() * 10 < listed.count() * 9

@@ -20,15 +20,15 @@ def missing(expected: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
 def purge(trashed: DataFrame, now: int, ttl: int, most_bytes: int) -> DataFrame:
     """Trashed blobs that go: those past the time limit, then the oldest until the rest fits.
 
-    trashed: hash, trashed_at, bytes. Bytes newer than a blob are a running sum by day, then within the day, so no task sorts all rows.
+    trashed: hash, trashed_at, bytes. Bytes newer than a blob are a running sum by slots of ten minutes, then within the slot, so no task sorts all rows.
     """
     alive = trashed.withColumn("expired", F.lit(now) - F.col("trashed_at") >= ttl)
-    day = F.floor(F.col("trashed_at") / 86_400)
-    left = alive.filter(~F.col("expired")).withColumn("day", day)
-    days = left.groupBy("day").agg(F.sum("bytes").alias("day_bytes"))
-    newer = F.coalesce(F.sum("day_bytes").over(Window.orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.sum("bytes").over(Window.partitionBy("day").orderBy(F.desc("trashed_at"), "hash"))
-    kept = left.join(days.select("day", newer.alias("newer")), "day").withColumn("upto", F.col("newer") + inside)
+    slot = F.floor(F.col("trashed_at") / 600)
+    left = alive.filter(~F.col("expired")).withColumn("slot", slot)
+    slots = left.groupBy("slot").agg(F.sum("bytes").alias("slot_bytes"))
+    newer = F.coalesce(F.sum("slot_bytes").over(Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("bytes").over(Window.partitionBy("slot").orderBy(F.desc("trashed_at"), "hash"))
+    kept = left.join(slots.select("slot", newer.alias("newer")), "slot").withColumn("upto", F.col("newer") + inside)
     evicted = kept.filter(F.col("upto") > most_bytes).select("hash", F.lit("size").alias("reason"))
     return alive.filter("expired").select("hash", F.lit("age").alias("reason")).unionByName(evicted)
 

@@ -1,30 +1,34 @@
-"""Merkle trees over arrays of hex digests, as Column expressions (SHA-256)."""
+"""Merkle trees over arrays of binary leaves, as Column expressions (SHA-256)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Tags of leaves and inner nodes.
-LEAF, NODE = "00", "01"
+# Tags of leaves and inner nodes, and the root of no leaves.
+LEAF, NODE, NOTHING = b"\x00", b"\x01", bytes(32)
 
 
-def chunks(text: Column, size: int) -> Column:
-    """SHA-256 of each chunk of `size` characters; one chunk at least."""
-    count = F.greatest(F.ceil(F.length(text) / size).cast("int"), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.sha2(F.substr(text, k * size + 1, F.lit(size)), 256))
+def sha(value: Column) -> Column:
+    return F.unhex(F.sha2(value, 256))
+
+
+def chunks(data: Column, size: int) -> Column:
+    """SHA-256 of each chunk of `size` bytes; one chunk at least."""
+    count = F.greatest(F.ceil(F.octet_length(data) / size).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda k: sha(F.substr(data, k * size + 1, F.lit(size))))
 
 
 def leaf(value: Column) -> Column:
-    return F.sha2(F.concat(F.lit(LEAF), value), 256)
+    return sha(F.concat(F.lit(LEAF), value))
 
 
 def node(left: Column, right: Column) -> Column:
-    return F.sha2(F.concat(F.lit(NODE), left, right), 256)
+    return sha(F.concat(F.lit(NODE), left, right))
 
 
-def padded(values: Column, padding: str | None = None) -> Column:
-    """Leaves up to a power of two, by repeating the last one, or by a digest given."""
+def padded(values: Column, padding: bytes | None = None) -> Column:
+    """Leaves up to a power of two, by repeating the last one, or by a leaf digest given."""
     width = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1))))).cast("int")
     fill = F.lit(padding) if padding else F.try_element_at(values, F.lit(-1))
     return F.concat(values, F.array_repeat(fill, width - F.size(values)))
@@ -41,18 +45,18 @@ def level_up(values: Column) -> Column:
     return F.when(F.size(values) > 1, pairs).otherwise(values)
 
 
-def root(leaves: Column, padding: str | None = None) -> Column:
-    """The root of an array of leaf digests; null of none."""
+def root(leaves: Column, padding: bytes | None = None) -> Column:
+    """The root of an array of leaves, however many; 32 zero bytes of none."""
     start = padded(F.transform(leaves, leaf), padding)
     top = F.aggregate(levels(leaves), start, lambda v, _: level_up(v))
-    return F.when(F.size(leaves) > 0, top[0])
+    return F.when(F.size(leaves) > 0, F.get(top, F.lit(0))).when(leaves.isNotNull(), F.lit(NOTHING))
 
 
-def proof(leaves: Column, index: Column, padding: str | None = None) -> Column:
+def proof(leaves: Column, index: Column, padding: bytes | None = None) -> Column:
     """The siblings from a leaf (counted from 0) to the root, each with whether it stands on the left."""
     start = F.struct(
         padded(F.transform(leaves, leaf), padding).alias("level"), index.cast("int").alias("at"),
-        F.expr("cast(array() as array<struct<sibling:string,left:boolean>>)").alias("path"),
+        F.expr("cast(array() as array<struct<sibling:binary,left:boolean>>)").alias("path"),
     )
 
     def step(s: Column, _: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardlore.functions import naming, scoring
-from shardlore.operators import inventory, placement
+from shardlore.operators import folds, inventory, placement
 from shardlore.plans.domain import NOW, files, hash60, nodes, reports, shards
 from shardlore.plans.registry import query
 from shardlore.sources import tables
@@ -72,14 +72,8 @@ def rebalance_progress(spark: SparkSession, d: str) -> DataFrame:
     return groups.select("pg", F.coalesce("total", zero).alias("total"), F.coalesce("done", zero).alias("done"), F.coalesce(F.col("done") == F.col("total"), F.lit(True)).alias("settled"))
 
 
-@query(f"WITH {_placed('p')}, {_placed('q', 'true', 2)} SELECT DISTINCT uid, CAST(pg AS BIGINT) AS pg FROM (SELECT * FROM p UNION ALL SELECT * FROM q) WHERE uid <= 20")
+@query(f"WITH {_placed('p')}, {_placed('q', 'true', 2)} SELECT DISTINCT uid, CAST(pg AS BIGINT) AS pg FROM (SELECT * FROM p UNION ALL SELECT * FROM q)")
 def owned_pgs(spark: SparkSession, d: str) -> DataFrame:
-    """The part of owned_pgs_all that SQL checks."""
-    return owned_pgs_all(spark, d).filter("uid <= 20")
-
-
-@query()
-def owned_pgs_all(spark: SparkSession, d: str) -> DataFrame:
     """The groups that a node owns under either version of placement."""
     n = nodes(spark, d)
     both = placement.group_placement(n, PGS, SLOTS).unionByName(placement.group_placement(n, PGS, SLOTS, version=2))
@@ -104,17 +98,11 @@ def reliability_filter(spark: SparkSession, d: str) -> DataFrame:
     return placement.reliable(n.select("uid", "weight"), scores, 0.2, 10)
 
 
-@query(f"""WITH ep AS (SELECT file_id, epoch, {hash60('CAST(file_id AS VARCHAR)')} % {PGS} AS pg FROM files WHERE file_id % 10 = 0),
+@query(f"""WITH ep AS (SELECT file_id, epoch, {hash60('CAST(file_id AS VARCHAR)')} % {PGS} AS pg FROM files),
 own AS (SELECT g.pg, e.seen, (g.pg * 31 + e.seen * 7) % 97 + 1 AS uid FROM (SELECT unnest(range(0, {PGS})) AS pg) g, (SELECT DISTINCT epoch AS seen FROM files) e),
 m AS (SELECT file_id, uid, max(seen) AS seen FROM ep JOIN own ON own.pg = ep.pg AND seen BETWEEN epoch - 3 AND epoch GROUP BY file_id, uid)
 SELECT file_id, uid, seen, row_number() OVER (PARTITION BY file_id ORDER BY seen DESC, uid) AS rank FROM m""")
 def owner_lookback(spark: SparkSession, d: str) -> DataFrame:
-    """The part of owner_lookback_all that SQL checks."""
-    return owner_lookback_all(spark, d).filter("file_id % 10 = 0")
-
-
-@query()
-def owner_lookback_all(spark: SparkSession, d: str) -> DataFrame:
     """Owners of every file's group within three epochs, the latest first."""
     f = files(spark, d)
     pieces = f.select("file_id", "epoch", scoring.placement_group(F.col("file_id").cast("string"), PGS).alias("pg"))
@@ -148,10 +136,10 @@ def expected_vs_held(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, CASE WHEN l.id IS NULL THEN 'add' WHEN d.id IS NULL THEN 'drop' ELSE 'keep' END AS action
-FROM (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id AS id, l.doc_id AS lid FROM (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)) d
+FROM (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id AS id, l.doc_id AS lid FROM (SELECT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)) d
   LEFT JOIN (SELECT DISTINCT doc_id AS id FROM labels) l ON l.id = d.lid""", views=False)
 def inventory_reconcile(spark: SparkSession, d: str) -> DataFrame:
-    return inventory.reconcile(tables.read(spark, d, "documents").filter("doc_id % 3 <> 0"), tables.read(spark, d, "labels"), "doc_id")
+    return inventory.reconcile(tables.read(spark, d, "documents"), tables.read(spark, d, "labels"), "doc_id")
 
 
 @query("""WITH t AS (SELECT doc_id AS hash, doc_id * 7919 % 1000000 AS trashed_at, n_chars AS bytes FROM documents),
@@ -247,9 +235,7 @@ def challenge_response(spark: SparkSession, d: str) -> DataFrame:
     """Challenges met by an answer within an hour pass, the others time out."""
     r = reports(spark, d)
     asked = r.filter("kind = 'view'").select("id", "uid", F.col("ts").alias("asked"))
-    said = r.filter("kind = 'click'").select("uid", F.col("ts").alias("said"))
-    met = asked.join(said, "uid").filter("said between asked and asked + 3600").select("id").distinct().withColumn("met", F.lit("Passed"))
-    return asked.select("id").join(met, "id", "left").select("id", F.coalesce("met", F.lit("Timeout")).alias("result"))
+    return folds.answered(asked, r.filter("kind = 'click'").select("uid", F.col("ts").alias("said")), 3600).select("id", F.when(F.col("met"), "Passed").otherwise("Timeout").alias("result"))
 
 
 @query("""SELECT uid, kind, ts // 600 AS slot, CAST(min(id) AS BIGINT) AS first_id FROM reports GROUP BY 1, 2, 3""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardlore.functions import naming, scoring
@@ -80,39 +80,57 @@ def index_integrity(spark: SparkSession, d: str) -> DataFrame:
     return first.join(tables.read(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("""SELECT sha256(CAST(file_id AS VARCHAR)) || ':' || uid || ':' || lower(hex(CAST(idx AS VARCHAR))) AS key, CAST(count(*) AS BIGINT) AS n FROM shards WHERE file_id < 2000 GROUP BY 1""")
+@query("""SELECT sha256(CAST(file_id AS VARCHAR)) || ':' || uid || ':' || lower(hex(CAST(idx AS VARCHAR))) AS key, CAST(count(*) AS BIGINT) AS n FROM shards GROUP BY 1""")
 def attestation_keys(spark: SparkSession, d: str) -> DataFrame:
-    """The part of attestation_keys_all that SQL checks."""
-    return _keys(shards(spark, d).filter("file_id < 2000"))
-
-
-@query()
-def attestation_keys_all(spark: SparkSession, d: str) -> DataFrame:
-    """Shards by their key, over all files."""
-    return _keys(shards(spark, d))
-
-
-def _keys(s: DataFrame) -> DataFrame:
+    """Shards by their key."""
     key = naming.dedup_key(F.sha2(F.col("file_id").cast("string"), 256), F.col("uid"), F.lower(F.hex(F.col("idx").cast("string"))))
-    return s.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+    return shards(spark, d).groupBy(key.alias("key")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT CAST(count(*) FILTER (kind <> 'error') AS BIGINT) AS passed, CAST(count(*) FILTER (kind = 'error') AS BIGINT) AS failed,
-  list_sort(list(id) FILTER (kind = 'error' AND id < 500))::VARCHAR AS failed_ids FROM reports""")
+@query("""SELECT id // 1000 AS batch, CAST(count(*) FILTER (kind <> 'error') AS BIGINT) AS passed, CAST(count(*) FILTER (kind = 'error') AS BIGINT) AS failed,
+  coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (kind = 'error'), '') AS failed_ids FROM reports GROUP BY 1""")
 def batch_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of all reports, and the failed ids that SQL checks."""
-    return _verdicts(reports(spark, d), F.col("id") < 500)
+    """Counts of each batch of 1,000 reports and its failed ids."""
+    bad = F.sort_array(F.collect_list(F.when(F.col("kind") == "error", F.col("id"))))
+    return reports(spark, d).groupBy(F.floor(F.col("id") / 1000).alias("batch")).agg(
+        F.count_if(F.col("kind") != "error").alias("passed"), F.count_if(F.col("kind") == "error").alias("failed"), F.array_join(bad, ",").alias("failed_ids")
+    )
 
 
-@query()
-def batch_verdicts_all(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of all reports, and all failed ids."""
-    return _verdicts(reports(spark, d), F.lit(True))
-
-
-def _verdicts(r: DataFrame, listed: Column) -> DataFrame:
-    bad = F.sort_array(F.collect_list(F.when((F.col("kind") == "error") & listed, F.col("id"))))
-    return r.agg(F.count_if(F.col("kind") != "error").alias("passed"), F.count_if(F.col("kind") == "error").alias("failed"), F.concat(F.lit("["), F.array_join(bad, ", "), F.lit("]")).alias("failed_ids"))
+@query("""
+WITH r AS (SELECT id, ts, uid, CASE WHEN id % 10 = 9 THEN id - 1 ELSE id END AS audit, value IS NULL OR value >= 2 AS allowed, EXISTS (SELECT 1 FROM nodes WHERE nodes.uid = reports.uid) AS known,
+  CASE kind WHEN 'error' THEN 'Failed' WHEN 'purchase' THEN 'Timeout' ELSE 'Passed' END AS result FROM reports),
+o AS (SELECT *, CASE WHEN NOT allowed THEN 'invalid' WHEN coalesce(sum(CASE WHEN allowed AND known THEN 1 ELSE 0 END) OVER (PARTITION BY audit ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0
+  THEN 'duplicate' WHEN NOT known THEN 'invalid' ELSE 'processed' END AS outcome FROM r),
+i AS (SELECT *, sum(CASE WHEN result <> 'Passed' THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY ts, id) AS island FROM o WHERE outcome = 'processed'),
+p AS (SELECT *, sum(CASE WHEN result = 'Passed' THEN 1 ELSE 0 END) OVER (PARTITION BY uid, island ORDER BY ts, id) AS streak FROM i),
+t AS (SELECT *, round(sum(CASE result WHEN 'Failed' THEN 1.0::DOUBLE WHEN 'Timeout' THEN 0.3::DOUBLE ELSE CASE WHEN streak >= 10 THEN -0.05::DOUBLE ELSE 0.0::DOUBLE END END)
+  OVER (PARTITION BY uid ORDER BY ts, id), 6) AS total FROM p),
+s AS (SELECT *, round(total - least(min(total) OVER (PARTITION BY uid ORDER BY ts, id), 0.0), 4) AS score FROM t)
+SELECT outcome, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (coalesce(s.score, 0) >= 3.0) AS BIGINT) AS at_ban FROM o LEFT JOIN s USING (id) GROUP BY outcome""".replace("o LEFT JOIN s USING (id) GROUP BY outcome", "(SELECT o.id, o.outcome, s.score FROM o LEFT JOIN s ON s.id = o.id) s GROUP BY outcome"))
+def audit_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of each report of a batch, and how many leave their node at the ban limit or above."""
+    result = F.when(F.col("kind") == "error", "Failed").when(F.col("kind") == "purchase", "Timeout").otherwise("Passed")
+    r = reports(spark, d).select("id", "ts", "uid", F.when(F.col("id") % 10 == 9, F.col("id") - 1).otherwise(F.col("id")).alias("audit"), F.expr("value is null or value >= 2").alias("allowed"), result.alias("result"))
+    done = folds.outcomes(r, nodes(spark, d).select("uid"))
+    return done.groupBy("outcome").agg(F.count("*").alias("n"), F.count_if(F.col("banned")).alias("at_ban"))
+
+
+@query(f"""
+WITH c AS (SELECT uid, max(ts) + 600 AS until FROM reports WHERE kind = 'error' GROUP BY uid)
+SELECT n.uid, coalesce(c.until > (SELECT max(ts) FROM reports) - 86400, false) AS resting FROM nodes n LEFT JOIN c USING (uid)""")
+def cooldowns(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes that rest until a moment after their last failure."""
+    r = reports(spark, d)
+    until = r.filter("kind = 'error'").groupBy("uid").agg((F.max("ts") + 600).alias("until"))
+    now = r.agg((F.max("ts") - 86_400).alias("now"))
+    return history.resting(nodes(spark, d).select("uid"), until, now)
+
+
+@query("""SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(bit_xor(CAST('0x' || substr(sha256(file_hash || ':' || size), 1, 15) AS BIGINT)) AS BIGINT) AS digest, CAST(max(epoch) AS BIGINT) AS epoch FROM files""")
+def sync_index(spark: SparkSession, d: str) -> DataFrame:
+    """What a replica compares before it asks for the list of files."""
+    return history.sync_index(files(spark, d))
 
 
 @query("""SELECT uid, CAST(max(ts) AS BIGINT) AS last_seen, CAST(count(*) AS BIGINT) AS heartbeats FROM (

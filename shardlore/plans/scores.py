@@ -177,14 +177,8 @@ def commitment_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT file_id, idx, string_agg(CAST(chunk AS VARCHAR), ',' ORDER BY chunk) AS chunks FROM (
   SELECT file_id, idx, chunk, row_number() OVER (PARTITION BY file_id, idx ORDER BY sha256(file_id || ':' || idx || ':' || chunk)) AS r
-  FROM (SELECT file_id, idx, greatest(max(bytes), 1) AS n FROM shards WHERE file_id % 10 = 0 GROUP BY file_id, idx), LATERAL (SELECT unnest(range(0, n)) AS chunk)) WHERE r <= 4 GROUP BY file_id, idx""")
+  FROM (SELECT file_id, idx, greatest(max(bytes), 1) AS n FROM shards GROUP BY file_id, idx), LATERAL (SELECT unnest(range(0, n)) AS chunk)) WHERE r <= 4 GROUP BY file_id, idx""")
 def challenge_indices(spark: SparkSession, d: str) -> DataFrame:
-    """The part of challenge_indices_all that SQL checks: a tenth of the files."""
-    return challenge_indices_all(spark, d).filter("file_id % 10 = 0")
-
-
-@query()
-def challenge_indices_all(spark: SparkSession, d: str) -> DataFrame:
     """Four distinct chunks (or all) of each shard."""
     s = shards(spark, d).groupBy("file_id", "idx").agg(F.greatest(F.max("bytes"), F.lit(1)).alias("n"))
 
@@ -196,16 +190,10 @@ def challenge_indices_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT file_id, idx FROM (SELECT file_id, idx, row_number() OVER (ORDER BY file_id, idx, part) - 1 AS rn, count(*) OVER () AS n FROM shards WHERE file_id < 4000)
+SELECT file_id, idx FROM (SELECT file_id, idx, row_number() OVER (ORDER BY file_id, idx, part) - 1 AS rn, count(*) OVER () AS n FROM shards)
 WHERE (rn - 137 + n) % n < 50""")
 def round_robin_audit(spark: SparkSession, d: str) -> DataFrame:
     """The next 50 shards from a cursor, around the end of the list."""
-    return cluster.from_cursor(shards(spark, d).filter("file_id < 4000"), ["file_id", "idx", "part"], 137, 50).select("file_id", "idx")
-
-
-@query()
-def round_robin_audit_all(spark: SparkSession, d: str) -> DataFrame:
-    """round_robin_audit over the list of all shards."""
     return cluster.from_cursor(shards(spark, d), ["file_id", "idx", "part"], 137, 50).select("file_id", "idx")
 
 
@@ -222,41 +210,29 @@ def retry_due(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH c AS (SELECT doc_id, k, sha256(text[k * 1024 + 1 : (k + 1) * 1024]) AS h FROM (
-  SELECT doc_id, text, unnest(range(0, greatest((length(text) + 1023) // 1024, 1))) AS k FROM documents WHERE doc_id < 300))
+  SELECT doc_id, encode(text) AS text, unnest(range(0, greatest((strlen(text) + 1023) // 1024, 1))) AS k FROM documents))
 SELECT doc_id, CAST(count(*) AS BIGINT) AS chunks, sha256(string_agg(h, '' ORDER BY k)) AS digest FROM c GROUP BY doc_id""", views=False)
 def chunk_hashes(spark: SparkSession, d: str) -> DataFrame:
-    """The part of chunk_hashes_all that SQL checks."""
-    return chunk_hashes_all(spark, d).filter("doc_id < 300")
-
-
-@query()
-def chunk_hashes_all(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks and digest of every document."""
+    """Chunks of 1,024 bytes and digest of every document."""
     docs = tables.read(spark, d, "documents")
-    hashes = merkle.chunks(F.col("text"), 1024)
+    hashes = F.transform(merkle.chunks(F.encode("text", "UTF-8"), 1024), lambda h: F.lower(F.hex(h)))
     return docs.select("doc_id", hashes.alias("h")).select("doc_id", F.size("h").cast("bigint").alias("chunks"), F.sha2(F.array_join("h", ""), 256).alias("digest"))
 
 
-@query("""
+@query(r"""
 WITH RECURSIVE l0 AS (
-  SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY idx) - 1 AS k, sha256('00' || sha256(file_id || ':' || idx)) AS h FROM (SELECT DISTINCT file_id, idx FROM shards WHERE file_id % 20 = 0)),
+  SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY idx) - 1 AS k, sha256('\x00'::BLOB || unhex(sha256(file_id || ':' || idx))) AS h FROM (SELECT DISTINCT file_id, idx FROM shards)),
 n AS (SELECT file_id, count(*) AS n, max(k) AS last, CAST(2 ** ceil(log2(count(*))) AS BIGINT) AS width FROM l0 GROUP BY file_id),
 p AS (SELECT n.file_id, n.width, g.k, l0.h FROM n, LATERAL (SELECT unnest(range(0, n.width)) AS k) g JOIN l0 ON l0.file_id = n.file_id AND l0.k = least(g.k, n.last)),
 t AS (SELECT file_id, width, k, h FROM p
-  UNION ALL SELECT a.file_id, a.width // 2, a.k // 2, sha256('01' || a.h || a.next) FROM (
+  UNION ALL SELECT a.file_id, a.width // 2, a.k // 2, sha256('\x01'::BLOB || unhex(a.h) || unhex(a.next)) FROM (
     SELECT file_id, width, k, h, lead(h) OVER (PARTITION BY file_id, width ORDER BY k) AS next FROM t WHERE width > 1) a WHERE a.k % 2 = 0)
 SELECT file_id, h AS root FROM t WHERE width = 1""".replace("WITH RECURSIVE", "WITH"))
 def merkle_root(spark: SparkSession, d: str) -> DataFrame:
-    """The part of merkle_root_all that SQL checks."""
-    return merkle_root_all(spark, d).filter("file_id % 20 = 0")
-
-
-@query()
-def merkle_root_all(spark: SparkSession, d: str) -> DataFrame:
     """The Merkle root of each file's shard hashes; leaves and inner nodes have tags of their own, the last leaf pads."""
     s = shards(spark, d).select("file_id", "idx").distinct()
     hashes = s.withColumn("h", F.sha2(F.concat_ws(":", F.col("file_id").cast("string"), F.col("idx").cast("string")), 256))
-    lists = hashes.groupBy("file_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "h"))), lambda x: x["h"]).alias("leaves"))
-    return lists.select("file_id", merkle.root(F.col("leaves")).alias("root"))
+    lists = hashes.groupBy("file_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "h"))), lambda x: F.unhex(x["h"])).alias("leaves"))
+    return lists.select("file_id", F.lower(F.hex(merkle.root(F.col("leaves")))).alias("root"))
 
 

@@ -67,11 +67,11 @@ def holder_shard_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-SELECT {hash60('file_hash')} % {GROUPS} AS pg, CAST(count(*) AS BIGINT) AS n_files, CAST(min(file_id) AS BIGINT) AS first_file,
-  md5(string_agg(DISTINCT file_hash, '' ORDER BY file_hash)) AS digest FROM files GROUP BY 1""")
+SELECT pg, (k - 1) // 1000 AS page, CAST(count(*) AS BIGINT) AS n_files, md5(string_agg(file_hash, '' ORDER BY file_hash)) AS digest FROM (
+  SELECT pg, file_hash, row_number() OVER (PARTITION BY pg ORDER BY file_hash) AS k FROM (SELECT DISTINCT {hash60('file_hash')} % {GROUPS} AS pg, file_hash FROM files)) GROUP BY 1, 2""")
 def pg_index(spark: SparkSession, d: str) -> DataFrame:
     index = cluster.group_index(files(spark, d), GROUPS)
-    return index.select("pg", F.size("files").cast("bigint").alias("n_files"), "first_file", F.md5(F.array_join("files", "")).alias("digest"))
+    return index.select("pg", "page", F.size("files").cast("bigint").alias("n_files"), F.md5(F.array_join("files", "")).alias("digest"))
 
 
 @query(f"""SELECT file_hash, page FROM (SELECT file_hash, CAST((row_number() OVER (ORDER BY file_hash) - 1) // 10 AS BIGINT) AS page

@@ -24,17 +24,11 @@ def pg_overrides(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT file_id, file_id % 3 AS stripe, idx, uid, part % 50 AS epoch FROM shards WHERE file_id % 4 = 0),
+WITH f AS (SELECT file_id, file_id % 3 AS stripe, idx, uid, part % 50 AS epoch FROM shards),
 b AS (SELECT file_id, stripe, idx, arg_max(uid, (epoch, -uid)) AS uid FROM f GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY file_id, stripe ORDER BY idx) AS turn, count(*) OVER (PARTITION BY file_id, stripe) AS n FROM b)
 SELECT file_id, stripe, idx, uid, n >= 3 AS repairable FROM r WHERE turn <= 3""")
 def repair_plan(spark: SparkSession, d: str) -> DataFrame:
-    """The part of repair_plan_all that SQL checks."""
-    return repair_plan_all(spark, d).filter("file_id % 4 = 0")
-
-
-@query()
-def repair_plan_all(spark: SparkSession, d: str) -> DataFrame:
     """The shards to repair each stripe of all files from."""
     found = shards(spark, d).select("file_id", (F.col("file_id") % 3).alias("stripe"), "idx", "uid", (F.col("part") % 50).alias("epoch"))
     pieces = files(spark, d).select("file_id", (F.col("file_id") % 3).alias("stripe"))
@@ -42,18 +36,12 @@ def repair_plan_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH q AS (SELECT file_id, file_id % 7 * 1000 AS start, file_id % 7 * 1000 + 2500 AS stop FROM files WHERE file_id % 20 = 0),
+WITH q AS (SELECT file_id, file_id % 7 * 1000 AS start, file_id % 7 * 1000 + 2500 AS stop FROM files),
 s AS (SELECT file_id, unnest(range(start // 2000, stop // 2000 + 1)) AS stripe FROM q),
 o AS (SELECT DISTINCT file_id, idx % 4 AS stripe, idx, uid FROM shards WHERE uid % 9 <> 4),
 m AS (SELECT s.file_id, s.stripe, idx, uid, row_number() OVER (PARTITION BY s.file_id, s.stripe ORDER BY CASE WHEN uid % 3 > 0 THEN uid % 100 END NULLS LAST, idx, uid) AS turn FROM s JOIN o USING (file_id, stripe))
 SELECT file_id, stripe, idx, uid FROM m WHERE turn <= 2""")
 def download_plan(spark: SparkSession, d: str) -> DataFrame:
-    """The part of download_plan_all that SQL checks."""
-    return download_plan_all(spark, d).filter("file_id % 20 = 0")
-
-
-@query()
-def download_plan_all(spark: SparkSession, d: str) -> DataFrame:
     """The shards to read a range of each file from."""
     low = F.col("file_id") % 7 * 1000
     requests = files(spark, d).select("file_id", low.alias("start"), (low + 2500).alias("stop"))

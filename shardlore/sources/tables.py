@@ -64,6 +64,12 @@ def family_pages(pages: DataFrame) -> DataFrame:
     return pages.select("family", F.explode(nodes).alias("node")).distinct()
 
 
-def snapshots(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """Registry snapshots as JSON with a given schema; the newest block wins."""
-    return spark.read.schema(schema).json(folder)
+def newest(rows: DataFrame, block: str = "at_block") -> DataFrame:
+    """The rows of the newest block; none without a block."""
+    last = rows.agg(F.max(block).alias("__newest"))
+    return rows.join(F.broadcast(last), F.col(block) == F.col("__newest")).drop("__newest")  # last is one row
+
+
+def snapshots(spark: SparkSession, folder: str, schema: T.StructType, block: str = "at_block") -> DataFrame:
+    """Registry snapshots as JSON with a given schema; the newest block wins. Rows that don't parse are left out."""
+    return newest(spark.read.schema(schema).option("mode", "DROPMALFORMED").json(folder), block)

@@ -58,7 +58,10 @@ def epochs(reports: DataFrame, length: str = "1 hour", late: str = WATERMARK) ->
 
 
 def newer_maps(maps: DataFrame, most_jump: int = 100) -> DataFrame:
-    """The cluster map of each source, replaced only by newer epochs that don't jump too far. maps: source, epoch, hash."""
+    """The cluster map of each source, replaced only by newer epochs that don't jump too far. maps: source, epoch, hash.
+
+    The state is a number for each source, of which a cluster has a few; it isn't forgotten, or else an old map would pass for a new one.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         newest = state.get[0] if state.exists else None
@@ -75,22 +78,29 @@ def newer_maps(maps: DataFrame, most_jump: int = 100) -> DataFrame:
     return maps.groupBy("source").applyInPandasWithState(step, "source string, epoch bigint, hash string", "epoch bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def retries(reports: DataFrame, base: int = 30, cap: int = 3600, most: int = 10) -> DataFrame:
-    """Failed deliveries of each report with the delay before the next try; given up after `most`. reports: key, at, delivered."""
+def retries(reports: DataFrame, base: int = 30, cap: int = 3600, most: int = 10, keep: int = 86_400) -> DataFrame:
+    """Failed deliveries of each report with the delay before the next try; given up after `most`. reports: key, at, delivered.
+
+    Further failures of a report that was given up aren't told; a delivery begins anew. A key that is silent for `keep` seconds is forgotten.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tries = state.get[0] if state.exists else 0
         out = []
         for frame in frames:
             for delivered in frame.sort_values("at")["delivered"]:
-                if tries >= most:
-                    break
+                if tries >= most and not delivered:
+                    continue
                 tries = 0 if delivered else tries + 1
                 out.append((key[0], tries, 0 if delivered else min(base * 2 ** min(tries, 16), cap), bool(tries >= most)))
         state.update((tries,))
+        state.setTimeoutDuration(keep * 1000)
         yield pd.DataFrame(out, columns=["key", "tries", "delay", "given_up"])
 
-    return reports.groupBy("key").applyInPandasWithState(step, "key string, tries bigint, delay bigint, given_up boolean", "tries bigint", "append", GroupStateTimeout.NoTimeout)
+    return reports.groupBy("key").applyInPandasWithState(step, "key string, tries bigint, delay bigint, given_up boolean", "tries bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def start(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:

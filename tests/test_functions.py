@@ -52,31 +52,58 @@ def test_hosts(spark):
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 8])
 def test_merkle(spark, n):
-    df = spark.createDataFrame([([f"{i:064x}" for i in range(n)],)], "leaves array<string>").withColumn("root", merkle.root(F.col("leaves")))
+    df = spark.createDataFrame([([bytes([i]) * (i + 1) for i in range(n)],)], "leaves array<binary>").withColumn("root", merkle.root(F.col("leaves")))
     each = df.select("root", "leaves", F.posexplode("leaves").alias("at", "leaf"))
     path = merkle.proof(F.col("leaves"), F.col("at"))
     good = merkle.verify(F.col("leaf"), path, F.col("root"))
-    bad = merkle.verify(F.sha2("leaf", 256), path, F.col("root"))
+    bad = merkle.verify(F.concat("leaf", F.lit(b"x")), path, F.col("root"))
     assert [tuple(r) for r in each.select(good, bad).collect()] == [(True, False)] * n
 
 
 @pytest.mark.parametrize("n", [4096, 4097, 5000])
 def test_large_merkle(spark, n):
     """Trees of 4,096 leaves and more: the root by hashlib, and proofs of leaves on both sides of that number."""
-    leaves = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(n)]
-    level = [hashlib.sha256(("00" + x).encode()).hexdigest() for x in leaves]
+    leaves = [hashlib.sha256(str(k).encode()).digest() for k in range(n)]
+    level = [hashlib.sha256(b"\0" + x).digest() for x in leaves]
     level += level[-1:] * ((1 << (n - 1).bit_length()) - n)
     while len(level) > 1:
-        level = [hashlib.sha256(("01" + a + b).encode()).hexdigest() for a, b in zip(level[::2], level[1::2], strict=True)]
+        level = [hashlib.sha256(b"\1" + a + b).digest() for a, b in zip(level[::2], level[1::2], strict=True)]
     at = [0, 4095, n - 1]
-    df = spark.createDataFrame([(leaves, k) for k in at], "leaves array<string>, at int")
+    df = spark.createDataFrame([(leaves, k) for k in at], "leaves array<binary>, at int")
     path = merkle.proof(F.col("leaves"), F.col("at"))
     got = df.select(merkle.root(F.col("leaves")).alias("root"), merkle.verify(F.get("leaves", F.col("at")), path, F.lit(level[0])).alias("ok")).collect()
-    assert [tuple(r) for r in got] == [(level[0], True)] * len(at)
+    assert [tuple(r) for r in got] == [(bytearray(level[0]), True)] * len(at)
 
 
 def test_empty_merkle(spark):
-    assert spark.createDataFrame([([],)], "leaves array<string>").select(merkle.root(F.col("leaves"))).first()[0] is None
+    got = spark.createDataFrame([([],), (None,)], "leaves array<binary>").select(merkle.root(F.col("leaves"))).collect()
+    assert [r[0] for r in got] == [bytearray(32), None]
+
+
+def test_sip_hash(spark):
+    """The published vector of SipHash-2-4, and messages of several lengths at once."""
+    key = (0x0706050403020100, 0x0F0E0D0C0B0A0908)
+    assert int(exact.sip_hash([bytes(range(15))], 2, 4, key)[0]) == 0xA129CA6149BE45E5
+    many = [b"", b"a" * 7, bytes(range(15)), b"a" * 8, b"x" * 300]
+    assert exact.sip_hash(many).tolist() == [int(exact.sip_hash([m])[0]) for m in many]
+    got = values(spark, [("5F3x",), (None,), ("5F3x",)], "k string", exact.node_uid(F.col("k")))
+    assert got[0] == got[2] and 0 <= got[0] < 1 << 31 and got[1] is None
+
+
+def test_signed_bytes(spark):
+    shard, warden, challenge = "ab" * 32, "w" * 70, bytes(range(32))
+    df = spark.createDataFrame([(shard, 7, 2, bytearray(challenge), 1 << 40, 9, bytearray(), warden)], "s string, u long, r int, c binary, b long, t long, p binary, w string")
+    got = df.select(naming.signed_bytes("TAG", *(F.col(c) for c in "surcbtpw"))).first()[0]
+    parts = [bytes([12]) + b"TAG", (64 * 4 + 1).to_bytes(2, "little") + shard.encode(), (7).to_bytes(4, "little"), b"\2", challenge, (1 << 40).to_bytes(8, "little"), (9).to_bytes(8, "little"), b"\0"]
+    assert bytes(got) == b"".join(parts) + (70 * 4 + 1).to_bytes(2, "little") + warden.encode()
+
+
+def test_field_elements(spark):
+    rows = [(bytearray(b""),), (bytearray(b"\1"),), (bytearray(b"\1\2\3"),), (bytearray(bytes([1, 2, 3, 255, 255])),)]
+    assert values(spark, rows, "d binary", naming.field_elements(F.col("d"))) == [[0], [1, 1], [1 + 512 + 3 * 65536, 3], [1 + 512 + 3 * 65536, 65535, 5]]
+    assert values(spark, [([1, 256, 2013265920, 0, 0, 0, 0, 7],)], "e array<int>", naming.element_bytes(F.col("e"))) == [
+        bytearray(b"".join(x.to_bytes(4, "little") for x in (1, 256, 2013265920, 0, 0, 0, 0, 7)))
+    ]
 
 
 FAMILIES = st.lists(st.tuples(st.integers(1, 3000), st.sampled_from("abcdefgh")), min_size=12, max_size=40, unique_by=lambda x: x[0])

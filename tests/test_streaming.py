@@ -53,6 +53,23 @@ def test_retries(spark, tmp_path):
     assert max(r.tries for r in got) == 10 and sum(r.given_up for r in got) == 1 and max(r.delay for r in got) == 3600
 
 
+def test_delivery_after_giving_up(spark, tmp_path):
+    rows = [("k", at(i), False) for i in range(12)] + [("k", at(20), True), ("k", at(21), False)]
+    got = run(spark, tmp_path, rows, "key string, at timestamp, delivered boolean", jobs.retries)
+    assert sorted(r.tries for r in got) == [0, 1, *range(1, 11)]
+
+
+def test_liveness(spark, tmp_path):
+    rows = [(at(1), 1), (at(50), 1), (at(3700), 1), (at(5), 2), (at(20_000), 9)]
+    got = run(spark, tmp_path, rows, "at timestamp, uid long", jobs.liveness)
+    assert sorted((r.uid, r.heartbeats) for r in got if r.uid != 9) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_attestations(spark, tmp_path):
+    got = run(spark, tmp_path, [("a", at(0)), ("a", at(5)), ("b", at(6))], "audit_id string, at timestamp", jobs.attestations)
+    assert sorted(r.audit_id for r in got) == ["a", "b"]
+
+
 def test_manifests(spark):
     import json
 
