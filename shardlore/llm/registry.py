@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from shardlore.llm import chat, decontaminate, embeddings, licenses, mixing, neardup, repeats, secrets, sharding, toxicity
 
 
@@ -22,16 +21,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.query,
         "op9_secrets": secrets.query,
         "op10_mixing": mixing.query,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {
+    return {
         "op1_decontaminate": decontaminate.SQL,
         "op3_embeddings": embeddings.SQL,
         "op4_chat": chat.SQL,
         "op7_sharding": sharding.SQL,
-        "pipeline": corpus_pipeline.ORACLE_SQL,
     }
-    return {name: sql for name, sql in found.items() if sql}
