@@ -38,6 +38,8 @@ STEMS = (4, 6, 8)
 SEEN, TERMS, GAIN = 3, 8192, 4
 #: So are those of the commonest buckets whose pairs tell more than their buckets do, with so many rows in each cell and a squared contrast of so many variances.
 PAIRED, CELL, PAIR_GAIN = 1024, 8, 30
+#: Training rows whose pairs are counted together.
+ROWS = 1024
 FACTORS = 8
 EPOCHS, BATCH = 12, 128
 #: Steps at least, for small samples.
@@ -129,23 +131,28 @@ def admitted(term: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
     common_ones = common_ones[varied[common_ones] > 0]
     column = np.full(1 << BITS, -1, np.int32)
     column[common_ones] = np.arange(len(common_ones))
-    here = column[term] >= 0
-    x = np.zeros((n, len(common_ones)), np.float32)
-    x[row[here], column[term[here]]] = 1
-    both, both_toxic = (m.astype(np.float64) for m in (x.T @ x, x.T @ (x * y[:, None].astype(np.float32))))
-    one, one_toxic = np.diag(both), np.diag(both_toxic)
-    cells = (
-        (both, both_toxic, 1),
-        (one[:, None] - both, one_toxic[:, None] - both_toxic, -1),
-        (one[None] - both, one_toxic[None] - both_toxic, -1),
-        (n - one[:, None] - one[None] + both, pos - one_toxic[:, None] - one_toxic[None] + both_toxic, 1),
-    )
-    contrast, variance, least = 0.0, 0.0, np.full(both.shape, np.inf)
-    for size, found, sign in cells:
-        share = (found + 0.5) / (size + 1)
-        contrast, variance, least = contrast + sign * share, variance + share * (1 - share) / (size + 1), np.minimum(least, size)
-    told = (least >= CELL) & (contrast**2 > PAIR_GAIN * variance)
-    return np.union1d(alone, common_ones[told.any(axis=1)])
+    both, both_toxic = np.zeros((2, len(common_ones), len(common_ones)), np.float32)
+    for low in range(0, n, ROWS):
+        here = slice(*np.searchsorted(row, [low, low + ROWS]))
+        at, x = column[term[here]], np.zeros((min(ROWS, n - low), len(common_ones)), np.float32)
+        x[row[here][at >= 0] - low, at[at >= 0]] = 1
+        both += x.T @ x
+        both_toxic += x.T @ (x * y[low : low + ROWS, None].astype(np.float32))
+    one, one_toxic = np.diag(both).astype(np.float64), np.diag(both_toxic).astype(np.float64)
+    told = np.zeros(len(common_ones), bool)
+    for k in range(len(common_ones)):
+        cells = (
+            (both[k], both_toxic[k], 1),
+            (one[k] - both[k], one_toxic[k] - both_toxic[k], -1),
+            (one - both[k], one_toxic - both_toxic[k], -1),
+            (n - one[k] - one + both[k], pos - one_toxic[k] - one_toxic + both_toxic[k], 1),
+        )
+        contrast, variance, least = np.zeros(len(one)), np.zeros(len(one)), np.full(len(one), np.inf)
+        for size, found, sign in cells:
+            share = (found + 0.5) / (size + 1)
+            contrast, variance, least = contrast + sign * share, variance + share * (1 - share) / (size + 1), np.minimum(least, size)
+        told[k] = ((least >= CELL) & (contrast**2 > PAIR_GAIN * variance)).any()
+    return np.union1d(alone, common_ones[told])
 
 
 def fit(rows: list[tuple[int, bytes]]) -> Machine:
@@ -159,7 +166,8 @@ def fit(rows: list[tuple[int, bytes]]) -> Machine:
         return none
     n, pos = len(y), float(y.sum())
     term = np.frombuffer(b"".join(t for _, t in rows), np.int32)
-    row = np.repeat(np.arange(n), [len(t) // 4 for _, t in rows])
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(t) // 4 for _, t in rows])
+    del rows
     known = admitted(term, row, y)
     slots[known] = np.arange(len(known))
     slot = slots[term]
