@@ -102,11 +102,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near_head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whether each document's sketch is like that of its node's first document."""
+    """Edges between documents and their node's first one whose sketches are alike."""
     for batch in batches:
         sketches = [batch.column(c).flatten().to_numpy().reshape(-1, MINWISE) for c in ("mins", "first_mins")]
-        near = (sketches[0] == sketches[1]).sum(axis=1) >= SKETCH * MINWISE
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "rep", "first", "mins")), pa.array(near)], ["node", "rep", "first", "mins", "near"])
+        near = pa.array((sketches[0] == sketches[1]).sum(axis=1) >= SKETCH * MINWISE)
+        yield pa.RecordBatch.from_arrays([batch.column("first").filter(near), batch.column("rep").filter(near)], ["a", "b"])
 
 
 def candidates(reps: DataFrame) -> DataFrame:
@@ -118,29 +118,31 @@ def candidates(reps: DataFrame) -> DataFrame:
         # head: a document that this one is known to be connected with. A node of one head has nothing to find.
         sizes = level.groupBy("node").agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.min("rep").alias("first"),
-            F.min("head").alias("low"), F.max("head").alias("high"),
+            F.min("head").alias("low"), F.max("head").alias("high"), F.min_by("head", "rep").alias("first_head"),
         )
         # Nodes that hold the same documents are one node.
-        kept = sizes.filter("n > 1 and low <> high").groupBy("n", "who").agg(F.min("node").alias("node"), F.min("first").alias("first")).select("node", "n", "first")
+        kept = sizes.filter("n > 1 and low <> high").groupBy("n", "who").agg(F.min_by(F.struct("node", "first", "first_head"), "node").alias("one")).select("one.*", "n")
         rows = common.stage(level.join(kept, "node"), "paths")
         few = rows.filter(F.col("n") <= NODE).select("node", "rep")
         small = few if small is None else small.union(few)
-        # A node's documents are spread over parts of SPREAD, each of which gets its first document's sketch.
-        parts = F.ceil(F.col("n") / SPREAD).cast("int")
-        large = rows.filter(F.col("n") > NODE).select("node", "rep", "first", "n", F.pmod(F.xxhash64("rep", "node"), parts).cast("int").alias("part"))
+        large = rows.filter(F.col("n") > NODE)
         if large.isEmpty():
             break
         if depth == DEPTH:
             through.append(large.select(F.col("first").alias("a"), F.col("rep").alias("b")))
             break
-        # Documents like their node's first one are connected through it; a node of only such documents ends here.
-        spread = large.select("node", "first", "n").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        crowded = common.stage(large.join(reps.select("rep", "mins"), "rep"), "crowded")
+        # Documents like their node's first one are connected through it, unless they are already; a node's documents are spread over parts of SPREAD,
+        # each of which gets the first one's sketch.
+        parts = F.ceil(F.col("n") / SPREAD).cast("int")
+        apart = crowded.filter("head <> first_head").withColumn("part", F.pmod(F.xxhash64("rep", "node"), parts).cast("int"))
+        spread = large.filter("head <> first_head").select("node", "first", "n").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
         sketch = reps.select(F.col("rep").alias("first"), F.col("mins").alias("first_mins"))
-        tested = large.select("node", "rep", "part").join(reps.select("rep", "mins"), "rep").join(spread.drop("n").join(sketch, "first"), ["node", "part"])
-        tested = common.stage(tested.mapInArrow(_near_head, "node bigint, rep bigint, first bigint, mins array<int>, near boolean"), "tested")
-        through.append(tested.filter("near and rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")))
+        tested = apart.select("node", "rep", "part", "mins").join(spread.join(sketch, "first"), ["node", "part"]).select("rep", "mins", "first", "first_mins")
+        through.append(common.stage(tested.mapInArrow(_near_head, "a bigint, b bigint"), "near_first"))
         known = components(reduce(DataFrame.union, through), "heads").select(F.col("id").alias("rep"), F.col("component").alias("known"))
-        heads = common.stage(tested.select("node", "rep", "mins").join(known, "rep", "left").select("node", "rep", "mins", F.coalesce("known", "rep").alias("head")), "heads")
+        # A node of only connected documents ends here.
+        heads = common.stage(crowded.join(known, "rep", "left").select("node", "rep", "mins", F.coalesce("known", "rep").alias("head")), "heads")
         open_nodes = heads.groupBy("node").agg(F.min("head").alias("low"), F.max("head").alias("high")).filter("low <> high").select("node")
         chosen = F.pmod(F.xxhash64("node", "branch"), F.lit(MINWISE)).cast("int")
         down = heads.join(open_nodes, "node", "left_semi").withColumn("branch", F.explode(F.sequence(F.lit(1), F.lit(BRANCHES[depth - 1]))))
