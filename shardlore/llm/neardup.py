@@ -145,7 +145,8 @@ def candidates(reps: DataFrame) -> DataFrame:
         heads = common.stage(crowded.join(known, "rep", "left").select("node", "rep", "mins", F.coalesce("known", "rep").alias("head")), "heads")
         open_nodes = heads.groupBy("node").agg(F.min("head").alias("low"), F.max("head").alias("high")).filter("low <> high").select("node")
         chosen = F.pmod(F.xxhash64("node", "branch"), F.lit(MINWISE)).cast("int")
-        down = heads.join(open_nodes, "node", "left_semi").withColumn("branch", F.explode(F.sequence(F.lit(1), F.lit(BRANCHES[depth - 1]))))
+        # Crowded nodes are few, so their documents are dealt anew before they branch.
+        down = heads.join(open_nodes, "node", "left_semi").repartition("rep", "node").withColumn("branch", F.explode(F.sequence(F.lit(1), F.lit(BRANCHES[depth - 1]))))
         level = common.stage(down.select(F.xxhash64("node", "branch", F.get("mins", chosen)).alias("node"), "rep", "head"), "level")
     # The small nodes of all depths are compared in one pass.
     edges = small.join(reps.select("rep", "mins"), "rep").repartition("node").sortWithinPartitions("node").mapInArrow(_compare, "a bigint, b bigint")
