@@ -78,16 +78,13 @@ def newer_maps(maps: DataFrame, most_jump: int = 100) -> DataFrame:
     return maps.groupBy("source").applyInPandasWithState(step, "source string, epoch bigint, hash string", "epoch bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def retries(reports: DataFrame, base: int = 30, cap: int = 3600, most: int = 10, keep: int = 86_400) -> DataFrame:
+def retries(reports: DataFrame, base: int = 30, cap: int = 3600, most: int = 10) -> DataFrame:
     """Failed deliveries of each report with the delay before the next try; given up after `most`. reports: key, at, delivered.
 
-    Further failures of a report that was given up aren't told; a delivery begins anew. A key that is silent for `keep` seconds is forgotten.
+    Further failures of a report that was given up aren't told; a delivery begins anew and leaves no state, so there is state for undelivered reports only.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         tries = state.get[0] if state.exists else 0
         out = []
         for frame in frames:
@@ -96,11 +93,13 @@ def retries(reports: DataFrame, base: int = 30, cap: int = 3600, most: int = 10,
                     continue
                 tries = 0 if delivered else tries + 1
                 out.append((key[0], tries, 0 if delivered else min(base * 2 ** min(tries, 16), cap), bool(tries >= most)))
-        state.update((tries,))
-        state.setTimeoutDuration(keep * 1000)
+        if tries:
+            state.update((tries,))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["key", "tries", "delay", "given_up"])
 
-    return reports.groupBy("key").applyInPandasWithState(step, "key string, tries bigint, delay bigint, given_up boolean", "tries bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return reports.groupBy("key").applyInPandasWithState(step, "key string, tries bigint, delay bigint, given_up boolean", "tries bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def start(stream: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
