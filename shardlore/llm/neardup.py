@@ -5,9 +5,9 @@ and one document stands for them. The join then grows TREES independent trees: a
 part by their value under the tree's minwise function; a node of more than NODE documents chooses
 further functions (BRANCHES) by its own path and its documents part again under each, so a document may go down several
 paths; documents whose sketch is like that of the node's first one are candidates through it, and paths on which only documents meet
-that are connected by then end. Nodes of up to NODE documents are
-compared exhaustively by their MINWISE-value sketches, and pairs whose estimate reaches SKETCH are candidates. Nodes with the same
-documents as another are compared once. A node still too large at depth DEPTH shares that many minwise values and is taken as
+that are connected by then end. Nodes of up to NODE documents, and nodes with up to NODE documents outside their largest connected group, are
+compared exhaustively (but for pairs within that group, which is dealt over parts) by their MINWISE-value sketches, and pairs whose estimate
+reaches SKETCH are candidates. Nodes with the same documents as another are compared once. A node still too large at depth DEPTH shares that many minwise values and is taken as
 candidates as a whole.
 
 Recall at similarity 0.75: a pair meets in a small root with probability 0.75 per tree, so ten trees find all but one in 10^6. In a crowded
@@ -46,7 +46,7 @@ TREES = 10
 BRANCHES = (3, 3, 3)
 DEPTH = len(BRANCHES) + 1
 NODE = 256
-#: Documents of a crowded node that are compared with its first one together.
+#: Documents of a crowded node that are compared with its first one, or with those outside its largest group, together.
 SPREAD = 1024
 SKETCH = 0.5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -80,6 +80,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in common.groups(batches, "node"):
         node = table.column("node").to_numpy()
         rep = table.column("rep").to_numpy()
+        main = table.column("main").to_numpy()
         mins = table.column("mins").combine_chunks()
         mins = (mins if isinstance(mins, pa.Array) else mins.chunk(0)).flatten().to_numpy().reshape(-1, MINWISE)
         first = np.append(0, np.flatnonzero(node[1:] != node[:-1]) + 1)
@@ -88,7 +89,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alike = (mins[pairs] == mins[pairs + 1]).sum(axis=1) >= SKETCH * MINWISE
         a, b = [rep[pairs[alike]]], [rep[pairs[alike] + 1]]
         for f, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            m, left = mins[f : f + n], np.arange(n)
+            m, inner = mins[f : f + n], main[f : f + n]
+            core, left = m[inner], np.flatnonzero(~inner)
+            # Main documents are connected already, so one of them that is alike is enough.
+            for k in left.tolist() if len(core) else ():
+                found = np.flatnonzero(inner)[(core == m[k]).sum(axis=1) >= SKETCH * MINWISE][:1]
+                a.append(np.full(len(found), rep[f + k]))
+                b.append(rep[f + found])
             while len(left):
                 queue, left = [int(left[0])], left[1:]
                 while queue and len(left):
@@ -123,7 +130,7 @@ def candidates(reps: DataFrame) -> DataFrame:
         # Nodes that hold the same documents are one node.
         kept = sizes.filter("n > 1 and low <> high").groupBy("n", "who").agg(F.min_by(F.struct("node", "first", "first_head"), "node").alias("one")).select("one.*", "n")
         rows = common.stage(level.join(kept, "node"), "paths")
-        few = rows.filter(F.col("n") <= NODE).select("node", "rep")
+        few = rows.filter(F.col("n") <= NODE).select("node", "rep", F.lit(False).alias("main"))
         small = few if small is None else small.union(few)
         large = rows.filter(F.col("n") > NODE)
         if large.isEmpty():
@@ -141,9 +148,19 @@ def candidates(reps: DataFrame) -> DataFrame:
         tested = apart.select("node", "rep", "part", "mins").join(spread.join(sketch, "first"), ["node", "part"]).select("rep", "mins", "first", "first_mins")
         through.append(common.stage(tested.mapInArrow(_near_head, "a bigint, b bigint"), "near_first"))
         known = components(reduce(DataFrame.union, through), "heads").select(F.col("id").alias("rep"), F.col("component").alias("known"))
-        # A node of only connected documents ends here.
         heads = common.stage(crowded.join(known, "rep", "left").select("node", "rep", "mins", F.coalesce("known", "rep").alias("head")), "heads")
-        open_nodes = heads.groupBy("node").agg(F.min("head").alias("low"), F.max("head").alias("high")).filter("low <> high").select("node")
+        # A node of only connected documents ends here.
+        by_head = heads.groupBy("node", "head").agg(F.count("*").alias("n"))
+        top = F.max(F.struct("n", "head"))
+        shape = by_head.groupBy("node").agg(F.sum("n").alias("n"), top["n"].alias("top"), top["head"].alias("main_head")).filter("top < n")
+        shape = common.stage(shape.withColumn("outside", F.col("n") - F.col("top")), "shape")
+        # Up to NODE documents beside one connected group: all of them meet every part of it.
+        parts = F.ceil(F.col("top") / SPREAD).cast("int")
+        met = heads.join(shape.filter(F.col("outside") <= NODE), "node").withColumn("main", F.col("head") == F.col("main_head"))
+        home = F.pmod(F.xxhash64("rep", "node"), parts).cast("int")
+        met = met.withColumn("part", F.explode(F.when(F.col("main"), F.array(home)).otherwise(F.sequence(F.lit(0), parts - 1))))
+        small = small.union(common.stage(met.select(F.xxhash64("node", "part").alias("node"), "rep", "main"), "beside"))
+        open_nodes = shape.filter(F.col("outside") > NODE).select("node")
         chosen = F.pmod(F.xxhash64("node", "branch"), F.lit(MINWISE)).cast("int")
         # Crowded nodes are few, so their documents are dealt anew before they branch.
         down = heads.join(open_nodes, "node", "left_semi").repartition("rep", "node").withColumn("branch", F.explode(F.sequence(F.lit(1), F.lit(BRANCHES[depth - 1]))))

@@ -310,6 +310,30 @@ def test_lone_pairs_in_crowded_nodes(spark, monkeypatch):
     assert [i for i in range(pairs) if root.get(2 * i, 2 * i) != root.get(2 * i + 1, 2 * i + 1)] == []
 
 
+def test_few_beside_a_group(spark, monkeypatch):
+    """A crowd of connected documents, and a few beside it that are each like one of them alone."""
+    rng = np.random.default_rng(4)
+    width, mains, beside = neardup.MINWISE, 300, 10
+    base = np.arange(width)
+    rows = [(0, base.tolist())]
+    for i in range(1, mains):
+        a = base.copy()
+        edit = rng.permutation(width)
+        a[edit[:14]] = 1000 * i + np.arange(14)
+        rows.append((i, a.tolist()))
+        if i <= beside:
+            b = a.copy()
+            b[edit[14:34]] = 10**6 + 1000 * i + np.arange(20)
+            rows.append((1000 + i, b.tolist()))
+    monkeypatch.setattr(neardup, "NODE", 14)
+    monkeypatch.setattr(neardup, "SPREAD", 64)
+    edges = neardup.candidates(spark.createDataFrame(rows, "rep long, mins array<int>").repartition(4))
+    root = {r.id: r.component for r in components.components(edges).collect()}
+    assert {root.get(i, i) for i, _ in rows} == {0}
+    at = dict(rows)
+    assert all(sum(x == y for x, y in zip(at[r.a], at[r.b], strict=True)) >= neardup.SKETCH * width for r in edges.collect())
+
+
 def test_near_duplicates_awkward(spark, awkward):
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(awkward).collect())
     assert [x[:1] + x[2:] for x in got if x[0] in "45"] == [("4", 4, True), ("4", 4, True), ("5", 4, False)]
