@@ -53,6 +53,8 @@ SKETCH = 0.5
 PERCENT = 75
 #: Shingles of candidate groups that one task compares at a time.
 GROUP = 2_000_000
+#: Up to so many candidates (8 bytes each) are broadcast to pick out their texts; with more, all texts are shuffled once.
+PICKED = 2_000_000
 
 FEATURES = "doc_id bigint, text_key bigint, n_shingles bigint, set_a bigint, set_b bigint, mins array<int>"
 
@@ -230,7 +232,9 @@ def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
     met = placed.select("team", "rep", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select(F.xxhash64("team", F.least("block", "other"), F.greatest("block", "other")).alias("team"), "rep")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").select(F.xxhash64("doc_id", "text_key").alias("rep"), "text")
-    texts = keyed.join(groups.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    wanted = groups.select("rep")
+    wanted = F.broadcast(wanted) if groups.count() <= PICKED else wanted
+    texts = keyed.join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
     return met.join(texts, "rep").repartition("team").sortWithinPartitions("team").mapInArrow(_confirm, "a bigint, b bigint")
 
 
