@@ -42,12 +42,16 @@ LENGTH = 100
 GRAM = 36
 #: Bytes of text for each shard of anchors, and the most partitions that shards are dealt to.
 SHARD, PARTITIONS = 4 << 20, 1 << 16
+#: Shards that a task takes one after another. Each file that a task writes starts a process or two (Hadoop's chmod).
+TOGETHER = 4
 #: Bytes of text whose runs, and of segments, that a task holds back to send each once.
 HELD = 16 << 20
 #: Windows that a long text is cut to.
 PIECE = 4 << 20
 #: Windows of one segment at most.
 WINDOWS = 77
+#: Bytes of data that are hashed at a time; each takes some 50 bytes of memory while it is.
+BLOCK = 1 << 20
 #: Symbols of one index.
 BATCH = 3 << 19
 #: How often an anchor that is too common is parted by another hash.
@@ -115,12 +119,22 @@ def _totals(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, down
 
 
+def _stretches(begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Parts of segments that come in the order of their begins, and the stretch of data under each part, of about BLOCK bytes."""
+    low = 0
+    while low < len(begin):
+        high = int(np.searchsorted(begin, begin[low] + BLOCK))
+        yield slice(low, high), slice(int(begin[low]), int(end[low:high].max()))
+        low = high
+
+
 def _marks(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The anchor hash of the windows that start at `begin`."""
-    grams = _grams(data) if len(data) >= GRAM else np.zeros(0, np.uint64)
+    """The anchor hash of the windows that start at `begin`, in ascending order."""
     out = np.empty(len(begin), np.uint64)
-    for low in range(0, len(begin), 1 << 14):
-        out[low : low + (1 << 14)] = grams[begin[low : low + (1 << 14), None] + np.arange(LENGTH - GRAM + 1)].min(axis=1)
+    for part, under in _stretches(begin, begin + LENGTH):
+        grams, at, own = _grams(data[under]), begin[part] - under.start, out[part]
+        for low in range(0, len(at), 1 << 13):
+            own[low : low + (1 << 13)] = grams[at[low : low + (1 << 13), None] + np.arange(LENGTH - GRAM + 1)].min(axis=1)
     return out
 
 
@@ -146,15 +160,18 @@ def shared(eight: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) ->
 
 
 def _distinct(data: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Of each distinct segment the number of its earliest place. Hashes bring equal segments together, bytes decide."""
-    total, down = _totals(data)
-    with np.errstate(over="ignore"):
-        content = text.mix((total[begin + size] - total[begin]) * down[begin] + size.astype(np.uint64))
+    """Of each distinct segment the number of its earliest place, in ascending order; begin ascends, too. Hashes bring equal segments together, bytes decide."""
+    content = np.empty(len(begin), np.uint64)
+    for part, under in _stretches(begin, begin + size):
+        total, down = _totals(data[under])
+        at = begin[part] - under.start
+        with np.errstate(over="ignore"):
+            content[part] = text.mix((total[at + size[part]] - total[at]) * down[at] + size[part].astype(np.uint64))
     order = np.lexsort((place, content))
     new = np.append(True, content[order][1:] != content[order][:-1])[: len(order)]
     first = order[new][np.cumsum(new) - 1]
     alike = (size[order] == size[first]) & (shared(_eight(data), begin[order], begin[first], np.minimum(size[order], size[first])) == size[order])
-    return order[new | ~alike]
+    return np.sort(order[new | ~alike])
 
 
 def _rank(*ids: np.ndarray) -> np.ndarray:
@@ -171,7 +188,10 @@ def _rank(*ids: np.ndarray) -> np.ndarray:
 def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of the segments, one after another."""
     at = np.cumsum(size)
-    return data[np.arange(int(at[-1]) if len(at) else 0) + np.repeat(begin - (at - size), size)]
+    out = np.empty(int(at[-1]) if len(at) else 0, np.uint8)
+    for part, under in _stretches(at - size, at):
+        out[under] = data[np.arange(under.start, under.stop) + np.repeat((begin - at + size)[part], size[part])]
+    return out
 
 
 # Rows packed by a number (a shard of anchors, or a bucket of documents): columns of fixed-width numbers as bytes.
@@ -198,7 +218,9 @@ def _opened(tables: list[pa.RecordBatch], column: str, kind: type) -> np.ndarray
 
 
 def _dealt(df: DataFrame, shards: int) -> DataFrame:
-    return df.repartition(min(shards, PARTITIONS), "number").sortWithinPartitions("number")
+    """df by number, the numbers dealt to partitions in turn, which hashes would do unevenly."""
+    parts = min(-(-shards // TOGETHER), PARTITIONS)
+    return df.repartitionById(parts, (F.col("number") % parts).cast("int")).sortWithinPartitions("number")
 
 
 def _shard_of(marks: np.ndarray, shards: int) -> np.ndarray:
@@ -360,7 +382,7 @@ def segments(docs: DataFrame, wanted: DataFrame, shards: int) -> DataFrame:
         held: list[dict] = []
         sum_of = 0
         for batch in batches:
-            for part in text.chunks(batch, "text", 4 << 20):
+            for part in text.chunks(batch, "text"):
                 data, at = text.flat(part.column("text"))
                 start = [np.frombuffer(x, np.int32) for x in part.column("starts").to_pylist()]
                 row = np.repeat(np.arange(part.num_rows), [len(s) for s in start])
@@ -370,13 +392,18 @@ def segments(docs: DataFrame, wanted: DataFrame, shards: int) -> DataFrame:
                 # A null id comes after all others.
                 ids = part.column("doc_id").fill_null((1 << 63) - 1).to_numpy()
                 key, check = part.column("key").to_numpy(), part.column("check").to_numpy()
-                one = _distinct(data, begin, size, _rank(ids, key, check)[row] << 32 | start)
-                row, begin, size = row[one], begin[one], size[one]
-                held.append({"keys": key[row], "checks": check[row], "ids": ids[row], "starts": start[one], "marks": _marks(data, begin), "sizes": size.astype(np.uint8), "bytes": _gather(data, begin, size)})
-                sum_of += int(size.sum())
-                if sum_of >= HELD:
-                    yield from send(held)
-                    held, sum_of = [], 0
+                place = _rank(ids, key, check)[row] << 32 | start
+                # A long text is a chunk by itself, taken stretch by stretch.
+                for some, under in _stretches(begin, begin + size):
+                    body, at = data[under], begin[some] - under.start
+                    one = _distinct(body, at, size[some], place[some])
+                    at, one = at[one], one + some.start
+                    own = row[one]
+                    held.append({"keys": key[own], "checks": check[own], "ids": ids[own], "starts": start[one], "marks": _marks(body, at), "sizes": size[one].astype(np.uint8), "bytes": _gather(body, at, size[one])})
+                    sum_of += int(size[one].sum())
+                    if sum_of >= HELD:
+                        yield from send(held)
+                        held, sum_of = [], 0
         if held:
             yield from send(held)
 
@@ -393,37 +420,47 @@ class RunIndex:
 
     def __init__(self, data: np.ndarray, size: np.ndarray):
         n = len(data)
-        owner = np.repeat(np.arange(len(size)), size + 1)
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
         end = np.cumsum(size + 1) - 1
-        symbol = data.astype(np.int64) + 1
+        symbol = data.astype(np.int16) + 1
         symbol[end] = 0
         order = self._sort(symbol, owner, int(size.max()) + 1)
         before = np.where(order > 0, symbol[order - 1], 0)
         heads = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (before[1:] == 0)))
         self.symbols, self.lengths = before[heads], np.diff(np.append(heads, n))
         at, above = order[heads], np.append(-1, order[heads[1:] - 1])
+        del order, before, heads
         by_text = np.argsort(at)
         self.at, self.above = at[by_text], above[by_text]
-        other = np.maximum(self.above, 0)
-        most = np.where(self.above < 0, 0, np.minimum(end[owner[self.at]] - self.at, end[owner[other]] - other))
-        self.shared = shared(_eight(data), self.at, other, most)
+        del at, above, by_text
+        self.shared, eight = np.empty(len(self.at), np.int64), _eight(data)
+        for low in range(0, len(self.at), 1 << 17):
+            part = slice(low, low + (1 << 17))
+            own, other = self.at[part], np.maximum(self.above[part], 0)
+            most = np.where(self.above[part] < 0, 0, np.minimum(end[owner[own]] - own, end[owner[other]] - other))
+            self.shared[part] = shared(eight, own, other, most)
 
     @staticmethod
     def _sort(symbol: np.ndarray, owner: np.ndarray, longest: int) -> np.ndarray:
         """Suffix order by prefix doubling. A separator is smaller than any byte; separators are told apart by their segment.
 
         Keys and positions are packed into one 64-bit number where they fit, since sorting numbers is much faster than sorting positions by them.
+        Few numbers of 64 bits are held for a symbol at any time: two indexes are built at once in an executor.
         """
         n = len(symbol)
         ended, key = np.zeros(n, bool), np.zeros(n, np.int64)
         for k in range(DEPTH):
-            shifted = np.zeros(n, np.int64)
+            shifted = np.zeros(n, np.int16)
             shifted[: n - k] = symbol[k:]
             ended |= shifted == 0
-            key = key << 9 | np.where(ended, 0, shifted)
-        order, rank = RunIndex._order(key, np.where(ended, owner + 1, 0))
+            shifted[ended] = 0
+            key <<= 9
+            key |= shifted
+        order, rank = RunIndex._order(key, np.where(ended, owner + np.int32(1), np.int32(0)))
+        del ended, key, shifted
         depth = DEPTH
         while depth < longest and rank[order[-1]] < n - 1:
+            del order
             following = np.zeros(n, np.int64)
             following[: n - depth] = rank[depth:]
             order, rank = RunIndex._order(rank, following)
@@ -437,11 +474,15 @@ class RunIndex:
         place = n.bit_length()
         width = int(low.max()).bit_length()
         if int(high.max()).bit_length() + width + place < 64:
-            packed = (high << width | low) << place | np.arange(n)
+            packed = high << width
+            packed |= low
+            packed <<= place
+            packed |= np.arange(n)
             packed.sort()
             order = packed & ((1 << place) - 1)
             packed >>= place
             new = packed[1:] != packed[:-1]
+            del packed
         else:
             order = np.lexsort((low, high))
             new = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
@@ -482,7 +523,12 @@ def _earlier(out: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndar
         if total[high - 1] - done > BATCH and level < LEVELS:
             held = _gather(data, begin[part], size[part])
             at = np.append(0, np.cumsum(size[part]))
-            row, start, count, other, _ = anchors(held, at, level + 1)
+            # Anchors are chosen for about BLOCK bytes of segments at a time.
+            found = []
+            for rows, under in _stretches(at[:-1], at[1:]):
+                row, start, count, other, _ = anchors(held[under], at[rows.start : rows.stop + 1] - under.start, level + 1)
+                found.append((row + rows.start, start + under.start, count, other))
+            row, start, count, other = (np.concatenate(x) for x in zip(*found, strict=True))
             offset = start - at[row]
             _earlier(out, held, start, count + LENGTH - 1, place[part][row] + offset, other, slot[part][row] + offset, level + 1)
         else:
@@ -516,6 +562,19 @@ def _classes(out: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndar
     out[np.repeat(slot, windows) + offset] = least[up] < place
 
 
+def _stretched(gone: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of marked windows of each segment: segment, first window and number of windows. windows: of each segment, which stand side by side."""
+    edge = np.cumsum(windows) - windows
+    new, last = gone.copy(), gone.copy()
+    new[1:] &= ~gone[:-1]
+    last[:-1] &= ~gone[1:]
+    new[edge] = gone[edge]
+    last[edge + windows - 1] = gone[edge + windows - 1]
+    first = np.flatnonzero(new)
+    owner = np.searchsorted(edge, first, "right") - 1
+    return owner, first - edge[owner], np.flatnonzero(last) - first + 1
+
+
 def answers(packed: DataFrame, shards: int) -> DataFrame:
     """For the earliest place of each segment: a run of no window, and the runs of windows that also start earlier; packed by bucket of key."""
 
@@ -523,7 +582,7 @@ def answers(packed: DataFrame, shards: int) -> DataFrame:
         for table in common.groups(batches, "number"):
             tables = table.to_batches()
             key, check, ids, start, mark, size = (_opened(tables, c, t) for c, t in _KINDS.items())
-            held = np.frombuffer(b"".join(c for t in tables for c in t.column("bytes").to_pylist()), np.uint8)
+            held = np.concatenate([text.flat(t.column("bytes"))[0] for t in tables])
             del table, tables
             size = size.astype(np.int64)
             begin = np.cumsum(size) - size
@@ -532,12 +591,7 @@ def answers(packed: DataFrame, shards: int) -> DataFrame:
             one = _distinct(held, begin, size, place)
             key, check, start, size = key[one], check[one], start[one], size[one]
             gone = earlier(held, begin[one], size, place[one], mark[one])
-            windows = size - LENGTH + 1
-            owner = np.repeat(np.arange(len(one)), windows)[gone]
-            offset = (np.arange(len(gone)) - np.repeat(np.cumsum(windows) - windows, windows))[gone]
-            new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1))[: len(owner)])
-            count = np.diff(np.append(new, len(owner)))
-            owner, offset = owner[new], offset[new]
+            owner, offset, count = _stretched(gone, size - LENGTH + 1)
             starts, counts = np.append(start, start[owner] + offset).astype(np.int32), np.append(np.zeros(len(one)), count).astype(np.uint8)
             key, check = np.append(key, key[owner]), np.append(check, check[owner])
             yield from _packed(key % shards, keys=key, checks=check, starts=starts, counts=counts)
@@ -545,6 +599,17 @@ def answers(packed: DataFrame, shards: int) -> DataFrame:
     return _dealt(packed, shards).mapInArrow(run, PLACES)
 
 
+def _removed(body: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The maximal runs of bytes under these runs of windows (first byte, end), which come in the order of their starts, and the bytes beside them."""
+    if not len(start):
+        return np.zeros((0, 2), np.int64), body.tobytes()
+    reach = np.maximum.accumulate(start.astype(np.int64) + count + LENGTH - 1)
+    new = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
+    spans = np.stack([start[new], reach[np.append(new[1:], len(start)) - 1]], axis=1)
+    edges = np.concatenate([[0], spans.ravel(), [len(body)]]).reshape(-1, 2)
+    return spans, b"".join(body[a:b].tobytes() for a, b in edges.tolist())
+
+
 def remove(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, the removed spans (byte offsets, end exclusive) and the kept bytes of each document."""
     common.prepare(docs.sparkSession)
@@ -564,16 +629,10 @@ def remove(docs: DataFrame) -> DataFrame:
                 sizes, spans, kept = [], [], []
                 for k, (starts, counts) in enumerate(zip(part.column("starts").to_pylist(), part.column("counts").to_pylist(), strict=True)):
                     body = data[at[k] : at[k + 1]]
+                    found, rest = _removed(body, np.frombuffer(starts or b"", np.int32), np.frombuffer(counts or b"", np.uint8))
                     sizes.append(len(body))
-                    edge = np.zeros(len(body) + 1, np.int32)
-                    if starts:
-                        start = np.frombuffer(starts, np.int32).astype(np.int64)
-                        np.add.at(edge, start, 1)
-                        np.add.at(edge, start + np.frombuffer(counts, np.uint8) + LENGTH - 1, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    flips = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                    spans.append([{"start": a, "end": b} for a, b in flips.reshape(-1, 2).tolist()])
-                    kept.append(body[~gone].tobytes() if len(flips) else body.tobytes())
+                    spans.append([{"start": a, "end": b} for a, b in found.tolist()])
+                    kept.append(rest)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
     return joined.select("doc_id", "text", "starts", "counts").mapInArrow(run, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")

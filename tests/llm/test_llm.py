@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -467,6 +468,65 @@ def test_crowded_anchor(monkeypatch, batch):
         assert got.tolist() == expected if not mark.any() else not (got & ~np.array(expected)).any()
 
 
+def test_memory_of_segments(spark, monkeypatch):
+    """Segments are hashed a block at a time and an index holds few numbers for a symbol; blocks don't change the result."""
+
+    def peak(run):
+        monkeypatch.setattr(repeats.text.Powers, "up", np.ones(1, np.uint64))
+        monkeypatch.setattr(repeats.text.Powers, "down", np.ones(1, np.uint64))
+        tracemalloc.start()
+        try:
+            return run(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    rng = np.random.default_rng(3)
+    size = rng.integers(100, 177, 60_000)
+    begin = np.cumsum(size) - size
+    data = rng.integers(97, 123, int(size.sum())).astype(np.uint8)
+    # Two segments that are equal, far apart; the second one has the earlier place.
+    size[59_000] = size[5] = min(size[59_000], size[5])
+    data[begin[59_000] : begin[59_000] + size[5]] = data[begin[5] : begin[5] + size[5]]
+    place = np.arange(60_000)[::-1]
+    one, distinct = peak(lambda: repeats._distinct(data, begin, size, place))
+    assert sorted(one.tolist()) == [k for k in range(60_000) if k != 5] and distinct < 8 * len(data)
+    marks, marking = peak(lambda: repeats._marks(data, begin))
+    assert marking < 8 * len(data)
+    for k in (0, 1, 30_000, 59_999):
+        assert marks[k] == repeats._grams(data[begin[k] : begin[k] + 100]).min()
+    gone, index = peak(lambda: repeats.earlier(data, begin, size, place << 32, marks))
+    assert gone.sum() == size[5] - 99 and index < 120 * repeats.BATCH
+    # Four shards share a task, and so a file.
+    dealt = repeats._dealt(spark.range(400).withColumnRenamed("id", "number"), 400)
+    assert collections.Counter(r[0] for r in dealt.select(F.spark_partition_id()).collect()) == {k: 4 for k in range(100)}
+
+
+def test_runs_of_marked_windows():
+    gone = np.array([1, 1, 0, 1, 1, 1, 0, 0, 1, 1], bool)
+    # Runs end with their segment.
+    assert [x.tolist() for x in repeats._stretched(gone, np.array([4, 1, 3, 2]))] == [[0, 0, 1, 2, 3], [0, 3, 0, 0, 0], [2, 1, 1, 1, 2]]
+
+
+def test_removed_bytes():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 40):
+        body = rng.integers(97, 123, 3000).astype(np.uint8)
+        count = rng.integers(1, 78, n).astype(np.uint8)
+        start = np.sort(rng.integers(0, 2800, n)).astype(np.int32)
+        # Runs that touch are one, also at both ends of the text.
+        if n > 1:
+            start[0], start[1] = 0, count[0] + 99
+            start, count = np.append(start, 3000 - 100).astype(np.int32), np.append(count, 1).astype(np.uint8)
+            order = np.argsort(start, kind="stable")
+            start, count = start[order], count[order]
+        gone = bytearray(3000)
+        for a, c in zip(start.tolist(), count.tolist()):
+            gone[a : a + c + 99] = b"\1" * (c + 99)
+        spans, kept = repeats._removed(body, start, count)
+        assert [tuple(x) for x in spans.tolist()] == [m.span() for m in re.finditer(b"\1+", gone)]
+        assert kept == bytes(x for x, g in zip(body.tolist(), gone) if not g)
+
+
 def test_long_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 1000)
     rows = [(1, " ".join(f"w{i % 900}" for i in range(4000))), (2, " ".join(f"w{i % 900}" for i in range(300, 700)))]
